@@ -1,0 +1 @@
+"""Operators for preparing training data at corpus scale."""
