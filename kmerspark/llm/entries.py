@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerspark.llm import language_id
+from kmerspark.llm import language_id, ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +18,27 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_ngram_jaccard_join": """
+WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+grams AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:least(i + 2, len(w))], ' '))) AS g FROM words WHERE len(w) > 0),
+sets AS (SELECT doc_id, list_sort(list(DISTINCT g)) AS s FROM grams GROUP BY doc_id),
+nodes AS (SELECT list_sort(list(doc_id)) AS docs, min(doc_id) AS d, s, len(s) AS size FROM sets GROUP BY s),
+tokens AS (SELECT d, size, docs, unnest(s) AS g FROM nodes),
+pairs AS (SELECT a.d AS doc_a, b.d AS doc_b, any_value(a.size) AS sa, any_value(b.size) AS sb, count(*) AS n, any_value(a.docs) AS docs_a, any_value(b.docs) AS docs_b FROM tokens a JOIN tokens b ON a.g = b.g AND a.d < b.d GROUP BY a.d, b.d)
+SELECT doc_a, doc_b, round(n / (sa + sb - n), 9) AS jaccard, docs_a, docs_b FROM pairs WHERE n / (sa + sb - n) >= 0.6 - 1e-12
+UNION ALL SELECT d, d, 1.0, docs, docs FROM nodes WHERE len(docs) > 1
+""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
