@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerspark.llm import language_id, mixing, ngram_join, pii
+from kmerspark.llm import language_id, mixing, ngram_join, packing, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(_table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -32,6 +36,7 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op8_language_id": op8_language_id,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
