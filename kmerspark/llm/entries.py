@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerspark.llm import language_id, mixing, ngram_join, packing, pii
+from kmerspark.llm import language_id, mixing, ngram_join, packing, pii, quality, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,22 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(_table(spark, sf_dir, "documents"))
 
 
+def op2_byte_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.classify(_table(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repetition_rules(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -36,13 +48,23 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_byte_sharding": op2_byte_sharding,
+    "op3_url_filter": op3_url_filter,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_repetition_rules": op5_repetition_rules,
     "op8_language_id": op8_language_id,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_byte_sharding": """
+WITH sized AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes FROM documents),
+summed AS (SELECT doc_id, n_bytes, sum(n_bytes) OVER (ORDER BY doc_id, n_bytes ROWS UNBOUNDED PRECEDING) - n_bytes AS start_byte, sum(n_bytes) OVER () AS total FROM sized)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(start_byte AS BIGINT) AS start_byte, CAST(least(floor(start_byte / greatest(ceil(total / 64), 1)), 63) AS INTEGER) AS shard FROM summed
+""",
+    "op3_url_filter": url_filter.ORACLE,
+    "op5_repetition_rules": quality.ORACLE,
     "op10_ngram_jaccard_join": """
 WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
 grams AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:least(i + 2, len(w))], ' '))) AS g FROM words WHERE len(w) > 0),
