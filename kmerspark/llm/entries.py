@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerspark.llm import language_id, mixing, ngram_join, packing, pii, quality, sharding, url_filter
+from kmerspark.llm import ann, language_id, mixing, ngram_join, packing, pii, quality, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_rules(_table(spark, sf_dir, "documents"))
 
 
+def op6_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_repetition_rules": op5_repetition_rules,
+    "op6_approximate_neighbours": op6_approximate_neighbours,
     "op8_language_id": op8_language_id,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
