@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kmerspark.llm import ann, language_id, mixing, ngram_join, packing, pii, quality, sharding, url_filter
+from kmerspark.llm import ann, language_id, mixing, ngram_join, packing, pii, quality, sharding, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,12 @@ def op6_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # record identifiers depend on the files' names, so they are left out of the result
+    chunks = warc.pages_to_chunks(_table(spark, sf_dir, "pages")).drop("record_id")
+    return chunks.withColumn("payload", F.base64("payload"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_repetition_rules": op5_repetition_rules,
     "op6_approximate_neighbours": op6_approximate_neighbours,
+    "op7_warc_chunks": op7_warc_chunks,
     "op8_language_id": op8_language_id,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
@@ -70,6 +78,7 @@ SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(start_byte AS BIGINT) AS
 """,
     "op3_url_filter": url_filter.ORACLE,
     "op5_repetition_rules": quality.ORACLE,
+    "op7_warc_chunks": warc.ORACLE,
     "op10_ngram_jaccard_join": """
 WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
 grams AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:least(i + 2, len(w))], ' '))) AS g FROM words WHERE len(w) > 0),
