@@ -41,7 +41,7 @@ def op6_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     # record identifiers depend on the files' names, so they are left out of the result
     chunks = warc.pages_to_chunks(_table(spark, sf_dir, "pages")).drop("record_id")
-    return chunks.withColumn("payload", F.base64("payload"))
+    return chunks.withColumn("payload", F.translate(F.base64("payload"), "\r\n", ""))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
