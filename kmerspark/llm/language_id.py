@@ -31,6 +31,9 @@ from kmerspark.llm.text import U64, mix, slices, string_buffers
 DIM = 4096
 ORDERS = (2, 3, 4)
 LENGTH_BINS = 18
+#: Texts of 256 letters and more share one bound: a long text that repeats itself has a low
+#: cosine for its length, and yet a language.
+LAST_BIN = 8
 UNKNOWN = "und"
 _LETTER = np.full(256, 32, dtype=np.uint8)
 _LETTER[np.arange(128, 256)] = np.arange(128, 256)
@@ -141,7 +144,7 @@ def fit_model(counts: np.ndarray, labels: list[str], pieces: dict[int, np.ndarra
     model.centroids = np.concatenate(found)
     last = 0.0
     for b in range(LENGTH_BINS):
-        if b in pieces and len(pieces[b]) >= 20:
+        if b <= LAST_BIN and b in pieces and len(pieces[b]) >= 20:
             cosine = (model.weigh(pieces[b]) @ model.centroids.T).max(1)
             low = float(np.quantile(cosine, 0.005))
             last = margin * low
@@ -161,7 +164,7 @@ def _fit_rows(sample: DataFrame) -> DataFrame:
             for row, label in enumerate(labels):
                 a, b = int(offsets[row]), int(offsets[row + 1])
                 jobs = [(-1, a, b)]
-                for bit in range(2, LENGTH_BINS):
+                for bit in range(2, LAST_BIN + 1):
                     length = 3 << (bit - 1)
                     if length * 1.3 <= b - a:
                         start = a + int(mix(np.array([row * 64 + bit], dtype=U64))[0] % U64(b - a - length))
@@ -201,7 +204,7 @@ def fit(docs: DataFrame, fit_rows: int = 300, centroids: int = 3) -> Model:
         if r["piece"] >= 0:
             by_bin.setdefault(r["piece"], []).append(r)
     # each bin's pieces are thinned evenly: their number only has to carry a 1 % quantile
-    pieces = {b: _dense(v[:: max(1, len(v) // 800)]) for b, v in by_bin.items()}
+    pieces = {b: _dense(v[:: -(-len(v) // 400)]) for b, v in by_bin.items() if b <= LAST_BIN}
     return fit_model(_dense(whole), [r["lang"] for r in whole], pieces, centroids)
 
 
