@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from kmerspark.plans import counting_queries
+
+QUERIES: dict = {**counting_queries.QUERIES}
+ORACLES: dict = {**counting_queries.SQL}
