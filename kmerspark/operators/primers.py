@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerspark.functions.sequences import IUPAC, encode, is_iupac, revcomp
+from kmerspark.functions.sequences import IUPAC, decode, encode, is_iupac, revcomp
+from kmerspark.session import checkpointed
 
 DEFAULTS = {"min_length": 0, "max_length": 10_000, "min_count": 2, "mismatches": 2, "trim": 15, "dedup_edit_threshold": 10}
 MOST_VARIANTS, MOST_KMERS = 10_000, 40
+BROADCAST_OLIGOS = 2_000_000
 STEPS, MULTIPLIER = 4, 2
 BUDGET_LOW, BUDGET_HIGH, BASES_LOW, BASES_HIGH = 100_000, 500_000, 150_000_000, 750_000_000
 
@@ -74,7 +76,8 @@ def oligos(pairs: DataFrame, k: int, mismatches: int | None = None) -> DataFrame
         wider = seen.where((F.col("level") == level - 1) & (F.col("mismatches") >= level))
         near = wider.select("gene", "dir", "mismatches", "min_count", F.explode(F.flatten(F.transform(places, lambda p: F.transform(F.array(*map(F.lit, "ACGT")), lambda b: F.overlay(F.col("oligo"), b, p, F.lit(1)))))).alias("oligo"))
         fresh = near.distinct().withColumn("level", F.lit(level)).join(seen.select("gene", "dir", "oligo"), ["gene", "dir", "oligo"], "left_anti")
-        seen = seen.unionByName(fresh)
+        # each level reads the one before it twice: written down, it is computed once
+        seen = checkpointed(seen.unionByName(fresh))
     return seen.select("gene", "dir", "level", "oligo", "min_count")
 
 
@@ -82,32 +85,25 @@ def match(counts: DataFrame, wanted: DataFrame, k: int, least: int = 0) -> DataF
     """(gene, dir, level, kmer, n): oriented k-mers that begin with an oligo.
 
     A canonical k-mer matches as it is by its first bases or, only where that fails, as its
-    reverse complement by its last ones. Both are equality joins on a number; Spark
-    broadcasts the oligos while they are few.
+    reverse complement by its last ones. Counts are scanned once, with both numbers as keys
+    of one equality join, and not shuffled while the oligos are few enough to broadcast.
     """
-    listed = wanted.select("gene", "dir", "level", "min_count", F.length("oligo").alias("len"), encode("oligo").alias("first"), encode(revcomp("oligo")).alias("last"))
-    lengths = [r[0] for r in listed.select("len").distinct().collect()]
-    found = None
-    for length in lengths:
-        some = listed.where(F.col("len") == length)
-        ahead = counts.withColumn("first", F.shiftright("kmer", 2 * (k - length))).join(some.drop("last"), "first").where(F.col("n") >= F.greatest("min_count", F.lit(least)))
-        ahead = ahead.select("gene", "dir", "level", "kmer", "n", "kmer")
-        ahead = ahead.toDF("gene", "dir", "level", "kmer", "n", "canonical")
-        behind = counts.withColumn("last", F.col("kmer").bitwiseAND(F.lit((1 << (2 * length)) - 1))).join(some.drop("first"), "last").where(F.col("n") >= F.greatest("min_count", F.lit(least)))
-        turned = encode(revcomp(_decode("kmer", k)))
-        behind = behind.select("gene", "dir", "level", turned.alias("oriented"), "n", F.col("kmer").alias("canonical"))
-        behind = behind.join(ahead.select("gene", "dir", "canonical"), ["gene", "dir", "canonical"], "left_anti").select("gene", "dir", "level", F.col("oriented").alias("kmer"), "n", "canonical")
-        part = ahead.select("gene", "dir", "level", "kmer", "n", "canonical").unionByName(behind)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    listed = checkpointed(wanted.select("gene", "dir", "level", "min_count", F.length("oligo").alias("len"), encode("oligo").alias("first"), encode(revcomp("oligo")).alias("last")))
+    lengths = sorted(r[0] for r in listed.select("len").distinct().collect())
+    if not lengths:
         return counts.sparkSession.createDataFrame([], "gene string, dir string, level int, kmer bigint, n bigint")
-    return found.groupBy("gene", "dir", "kmer").agg(F.min("level").alias("level"), F.max("n").alias("n")).select("gene", "dir", "level", "kmer", "n")
-
-
-def _decode(kmer: str, k: int) -> Column:
-    from kmerspark.functions.sequences import decode
-
-    return decode(kmer, k)
+    ends = lambda cols: F.explode(F.array(*[F.struct(F.lit(length).alias("len"), F.lit(end).alias("end"), key.cast("bigint").alias("key")) for length, end, key in cols])).alias("e")
+    keys = [(length, end, key) for length in lengths for end, key in (("first", F.shiftright("kmer", 2 * (k - length))), ("last", F.col("kmer").bitwiseAND(F.lit((1 << (2 * length)) - 1))))]
+    wide = counts.where(F.col("n") >= least).select("kmer", "n", ends(keys)).select("kmer", "n", "e.*")
+    both = F.explode(F.array(*[F.struct(F.lit(end).alias("end"), F.col(end).alias("key")) for end in ("first", "last")])).alias("e")
+    sought = listed.select("gene", "dir", "level", "min_count", "len", both).select("gene", "dir", "level", "min_count", "len", "e.*")
+    if sought.count() <= BROADCAST_OLIGOS:
+        sought = F.broadcast(sought)
+    hits = wide.join(sought, ["len", "end", "key"]).where(F.col("n") >= F.col("min_count"))
+    level = lambda end: F.min(F.when(F.col("end") == end, F.col("level")))
+    found = hits.groupBy("gene", "dir", "kmer").agg(F.max("n").alias("n"), level("first").alias("ahead"), level("last").alias("behind"))
+    oriented = F.when(F.col("ahead").isNotNull(), F.col("kmer")).otherwise(encode(revcomp(decode("kmer", k))))
+    return found.select("gene", "dir", F.coalesce("ahead", "behind").alias("level"), oriented.alias("kmer"), "n")
 
 
 def most_frequent(matched: DataFrame, most: int = MOST_KMERS) -> DataFrame:

@@ -338,7 +338,7 @@ def _spcr(spark, sf_dir):
 
     counts = checkpointed(_counts(spark, sf_dir))
     top = checkpointed(primers.most_frequent(primers.match(counts, primers.oligos(pairs, K), K, 2)))
-    steps = checkpointed(assembly.path_steps(counts, top, pairs, K))
+    steps = checkpointed(assembly.path_steps(counts, top, pairs, K, {"max_dfs_states": 10_000}))
     return pairs, steps, amplicons.distinct_products(amplicons.products(steps, K), 10)
 
 

@@ -63,7 +63,7 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def primers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(gene, forward_seq, reverse_seq): a pair of primers for each template.
+    """(gene, forward_seq, reverse_seq, max_length): a pair of primers for each template.
 
     The fifth base of each primer is widened to the ambiguity code of its kind (R or Y).
     """
@@ -71,7 +71,7 @@ def primers(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.substring(seq, 1, 4), F.translate(F.substring(seq, 5, 1), "ACGTN", "RYRYN"), F.substring(seq, 6, PRIMER_LENGTH - 5))
 
     rows = templates(spark, sf_dir).select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("gene"), F.substring("dna", 1, PRIMER_LENGTH).alias("f"), revcomp(F.substring("dna", AMPLICON - PRIMER_LENGTH + 1, PRIMER_LENGTH)).alias("r"))
-    return rows.select("gene", widen(F.col("f")).alias("forward_seq"), widen(F.col("r")).alias("reverse_seq"))
+    return rows.select("gene", widen(F.col("f")).alias("forward_seq"), widen(F.col("r")).alias("reverse_seq"), F.lit(2 * AMPLICON).alias("max_length"))
 
 
 def numbered_by(frame: DataFrame, *order: str) -> DataFrame:
