@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 CAPACITY = 8192
 CELL_ITEMS = 2048
 MOST_NODES = 400
+CELLS_A_TASK = 8
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -183,7 +184,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
     cells = max(1, -(-docs.count() // cell_items))
     placed = items.withColumn("cell", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(cells)))
     # identical rows fall into one cell, sorted, so that a repeated task packs them alike
-    grouped = placed.repartition("cell").sortWithinPartitions("cell", F.desc("size"), "doc_id")
+    # a number of tasks, as cells are work, not bytes: small tables must not end up in one task
+    grouped = placed.repartition(-(-cells // CELLS_A_TASK), "cell").sortWithinPartitions("cell", F.desc("size"), "doc_id")
 
     def solve(cell: int, ids: list, sizes: list[int]) -> pa.RecordBatch:
         out: list[tuple] = []
