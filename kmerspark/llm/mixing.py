@@ -155,12 +155,17 @@ def copies(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALP
 
 def mix_documents(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPHA, seed: int = 17) -> DataFrame:
     """``docs`` with each row as often as its copies say; all columns as they are."""
-    decided = copies(docs, weights, alpha, seed).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").where("copies > 0")
+    # names that no column of docs has
+    tag = "_"
+    while any(c.lower().startswith(f"{tag}mix_") for c in docs.columns):
+        tag += "_"
+    key, own, source, times, copy = (f"{tag}mix_{x}" for x in ("key", "id", "source", "times", "copy"))
+    decided = copies(docs, weights, alpha, seed).where("copies > 0").toDF(own, source, times)
     # a plain equality drives the join; null identifiers meet under a substitute key
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
-    joined = docs.withColumn("_key", key).join(decided.withColumn("_key", F.coalesce("_id", F.lit(-(2**63)))), "_key")
-    exact = joined.where(F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    return exact.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[exact[f"`{c}`"] for c in docs.columns])
+    meet = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(-(2**63)))
+    joined = docs.withColumn(key, meet("doc_id")).join(decided.withColumn(key, meet(own)), key)
+    exact = joined.where(F.col("doc_id").cast("bigint").eqNullSafe(F.col(own)) & F.col("source").cast("string").eqNullSafe(F.col(source)))
+    return exact.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def weights_frame(spark, weights: dict[str | None, float]) -> DataFrame:
