@@ -53,7 +53,7 @@ _GIVEN = {
 _KNOWN = {name: group for group, names in _GIVEN.items() for name in names}
 _TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra|Don|Doña|г-н|г-жа|κ)"
 _NAME_REST = r"[\w'’\-]*[^\W\d_]"
-_NAME = rf"[^\W\d_]{_NAME_REST}"
+_CAPITAL = "[A-ZÀ-ÞА-ЯΑ-Ω]"
 
 _PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
@@ -66,7 +66,7 @@ _PATTERNS = {
     "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![\w:])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
     "number": r"(?<![\w.])[0-9]{8,19}(?![\w])",
-    "person": rf"\b{_TITLES}\.?[ ](?P<p1>{_NAME}(?:[ ]{_NAME}){{0,2}})|\b(?P<p2>(?:{'|'.join(_KNOWN)})[ ][A-ZÀ-ÞА-ЯΑ-Ω]{_NAME_REST})\b",
+    "person": rf"\b{_TITLES}\.?[ ](?P<p1>{_CAPITAL}{_NAME_REST}(?:[ ]{_CAPITAL}{_NAME_REST}){{0,2}})|\b(?P<p2>(?:{'|'.join(_KNOWN)})[ ]{_CAPITAL}{_NAME_REST})\b",
 }
 _COMPILED = {kind: re.compile(_PATTERNS[kind]) for kind in TYPES}
 #: What a text must contain for the patterns of each type to be tried at all.

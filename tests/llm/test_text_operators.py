@@ -196,8 +196,11 @@ def test_surrogates_replace_and_keep_form(spark):
     rows = [(i, t, None) for i, t in enumerate([*PRIVATE, None, "", "plain text of 2024, version 3.0"])]
     out = {r.doc_id: r for r in pii.replace_pii(frame(spark, rows), count="found").collect()}
     for i, t in enumerate(PRIVATE):
-        assert out[i].found > 0 and len(out[i].text) == len(t)
-        for a, b, _ in pii.find_entities(t):
+        found = pii.find_entities(t)
+        assert out[i].found == len(found) > 0
+        # names of persons may change their length, all other types keep it
+        assert len(out[i].text) == len(t) or any(kind == "person" for *_, kind in found)
+        for a, b, _ in found:
             assert t[a:b] not in out[i].text
     assert out[6].text is None and out[7].text == "" and out[8].text == rows[8][1] and out[8].found == 0
 
