@@ -123,7 +123,7 @@ def test_list_blocks_skip_nothing_that_counts():
     rest, want = size - position, set()
     for i in range(150):
         for j in range(i + 1, 150):
-            if size[j] * 0.6 <= size[i] + 1e-9 and min(rest[i], rest[j]) >= ngram_join.required_overlap(size[i], size[j], 0.6):
+            if size[j] * 0.6 <= size[i] + 1e-9 and min(rest[i], rest[j]) + min(position[i], position[j]) >= ngram_join.required_overlap(size[i], size[j], 0.6):
                 want.add((i, j))
     assert got == want
 
