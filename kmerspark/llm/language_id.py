@@ -4,7 +4,9 @@ Each text becomes a vector of hashed byte n-grams (orders 2 to 4 over the lower-
 letters, all else a blank), weighted by log(1 + count) times an inverse document frequency
 and scaled to length one. Each language has several centroids, found by spherical k-means.
 A text belongs to the language of the centroid with the largest cosine; it is rejected
-where that cosine is below a bound for texts of its length.
+where that cosine is below the language's bound for texts of as many distinct n-grams. These,
+not its letters, limit how near a text can come to a centroid: a text that repeats itself is
+held to the bound of a short one, and long gibberish to that of a long one.
 
 The classifier is fitted on a bounded sample of the labelled rows (``fit_rows`` per
 language, chosen by a hash of the identifier); every text is scored, whole.
@@ -17,6 +19,7 @@ alphabet. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +33,10 @@ from kmerspark.llm.text import U64, mix, slices, string_buffers
 
 DIM = 4096
 ORDERS = (2, 3, 4)
-LENGTH_BINS = 18
-#: Texts of 256 letters and more share one bound: a long text that repeats itself has a low
-#: cosine for its length, and yet a language.
-LAST_BIN = 8
+#: Two bins for each doubling of the number of distinct n-grams, of which there are up to DIM.
+BINS = 25
+#: Pieces that a bin of a language must have for a bound of its own, and those looked at.
+LEAST_PIECES, MOST_PIECES = 20, 200
 UNKNOWN = "und"
 _LETTER = np.full(256, 32, dtype=np.uint8)
 _LETTER[np.arange(128, 256)] = np.arange(128, 256)
@@ -76,13 +79,14 @@ def count_vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return counts.reshape(rows, DIM), letters
 
 
-def length_bin(letters: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(letters, 1)).astype(np.int64), LENGTH_BINS - 1)
+def gram_bin(distinct: np.ndarray) -> np.ndarray:
+    return (2 * np.log2(np.maximum(distinct, 1))).astype(np.int64)
 
 
 @dataclass
 class Model:
-    """Centroids (rows of ``centroids``) of the languages ``owner`` points to."""
+    """Centroids (rows of ``centroids``) of the languages ``owner`` points to, and the bounds
+    of each language (rows of ``floors``) by bin."""
 
     languages: list[str]
     owner: np.ndarray
@@ -106,7 +110,7 @@ class Model:
         empty = letters == 0
         lang = np.where(empty, -1, self.owner[best])
         cosine = np.where(empty, 0.0, cosine)
-        return lang, cosine, empty | (cosine < self.floors[length_bin(letters)])
+        return lang, cosine, empty | (cosine < self.floors[self.owner[best], gram_bin((counts > 0).sum(1))])
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -131,27 +135,36 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids.astype(np.float32)
 
 
-def fit_model(counts: np.ndarray, labels: list[str], pieces: dict[int, np.ndarray], centroids: int = 3, margin: float = 0.75) -> Model:
-    """Fit from count vectors of whole texts and, by length bin, of pieces of such texts."""
+def fit_model(counts: np.ndarray, labels: list[str], centroids: int = 3) -> Model:
+    """Fit from count vectors of whole texts, without bounds."""
     languages = sorted(set(labels))
+    floors = np.zeros((len(languages), BINS))
     if not languages:
-        return Model([], np.zeros(0, int), np.zeros((0, DIM), np.float32), np.zeros(DIM, np.float32), np.ones(LENGTH_BINS))
+        return Model([], np.zeros(0, int), np.zeros((0, DIM), np.float32), np.zeros(DIM, np.float32), floors)
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    model = Model(languages, np.zeros(0, int), np.zeros((0, DIM), np.float32), idf, np.zeros(LENGTH_BINS))
+    model = Model(languages, np.zeros(0, int), np.zeros((0, DIM), np.float32), idf, floors)
     x, at = model.weigh(counts), np.array([languages.index(v) for v in labels])
     found = [_cluster(x[at == i], centroids) for i in range(len(languages))]
     model.owner = np.repeat(np.arange(len(languages)), [len(f) for f in found])
     model.centroids = np.concatenate(found)
-    last = 0.0
-    for b in range(LENGTH_BINS):
-        if b <= LAST_BIN and b in pieces and len(pieces[b]) >= 20:
-            cosine = (model.weigh(pieces[b]) @ model.centroids.T).max(1)
-            low = float(np.quantile(cosine, 0.005))
-            last = margin * low
-        model.floors[b] = last
     return model
 
 
+def fit_floors(cosines: dict[tuple[str, int], np.ndarray], languages: list[str], share: float = 0.02, margin: float = 0.7) -> np.ndarray:
+    """Bounds by language and bin from the cosines of pieces of texts that had no part in the
+    centroids: what all but ``share`` of them reach, times ``margin``, never less than those of
+    fewer n-grams. A bin with few pieces of a language goes by the pieces of all."""
+    floors = np.zeros((len(languages), BINS))
+    for b in range(BINS):
+        parts = [cosines.get((v, b), np.zeros(0)) for v in languages]
+        pooled = np.concatenate([np.zeros(0), *parts])
+        for i, part in enumerate(parts):
+            used = part if len(part) >= LEAST_PIECES else pooled
+            if len(used) >= LEAST_PIECES:
+                floors[i, b] = margin * float(np.quantile(used, share))
+    return np.maximum.accumulate(floors, axis=1)
+
+
 def _fit_rows(sample: DataFrame) -> DataFrame:
     """Sparse count vectors of the sample's whole texts and of pieces of doubling lengths."""
 
@@ -160,26 +173,27 @@ def _fit_rows(sample: DataFrame) -> DataFrame:
             texts = pc.utf8_lower(batch.column("text"))
             labels = batch.column("lang").to_pylist()
             data, offsets = string_buffers(texts)
-            out: dict[str, list] = {"lang": [], "piece": [], "cells": [], "counts": []}
+            out: dict[str, list] = {"lang": [], "half": [], "piece": [], "cells": [], "counts": []}
             for row, label in enumerate(labels):
                 a, b = int(offsets[row]), int(offsets[row + 1])
-                jobs = [(-1, a, b)]
-                for bit in range(2, LAST_BIN + 1):
-                    length = 3 << (bit - 1)
-                    if length * 1.3 <= b - a:
-                        start = a + int(mix(np.array([row * 64 + bit], dtype=U64))[0] % U64(b - a - length))
-                        jobs.append((bit, start, start + length))
+                half = zlib.crc32(data[a:b].tobytes()) & 1
+                jobs, bit = [(-1, a, b), (0, a, b)], 2
+                while (length := 3 << (bit - 1)) * 1.3 <= b - a:
+                    start = a + int(mix(np.array([row * 64 + bit], dtype=U64))[0] % U64(b - a - length))
+                    jobs.append((bit, start, start + length))
+                    bit += 1
                 for piece, lo, hi in jobs:
                     vector, letters = count_vectors(data, np.array([lo, hi]))
                     cells = np.flatnonzero(vector[0])
                     if letters[0]:
                         out["lang"].append(label)
-                        out["piece"].append(piece if piece < 0 else int(length_bin(letters)[0]))
+                        out["half"].append(half)
+                        out["piece"].append(piece if piece < 0 else int(gram_bin(len(cells))))
                         out["cells"].append(cells.astype(np.int16).tobytes())
                         out["counts"].append(vector[0][cells].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["piece"], pa.int32()), pa.array(out["cells"], pa.binary()), pa.array(out["counts"], pa.binary())], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["half"], pa.int32()), pa.array(out["piece"], pa.int32()), pa.array(out["cells"], pa.binary()), pa.array(out["counts"], pa.binary())], names=list(out))
 
-    return sample.mapInArrow(run, "lang string, piece int, cells binary, counts binary")
+    return sample.mapInArrow(run, "lang string, half int, piece int, cells binary, counts binary")
 
 
 def _dense(rows: list) -> np.ndarray:
@@ -196,16 +210,26 @@ def fit(docs: DataFrame, fit_rows: int = 300, centroids: int = 3) -> Model:
     chosen = ids.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= fit_rows).select("_id").distinct()
     # bounded by fit_rows per language, hence the broadcast
     sample = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").where("lang is not null and text is not null")
-    vectors = _fit_rows(sample.select("text", "lang"))
-    rows = sorted(vectors.collect(), key=lambda r: (r["lang"], r["piece"], bytes(r["cells"]), bytes(r["counts"])))
+    rows = sorted(_fit_rows(sample.select("text", "lang")).collect(), key=lambda r: (r["lang"], r["piece"], bytes(r["cells"]), bytes(r["counts"])))
     whole = [r for r in rows if r["piece"] < 0]
-    by_bin: dict[int, list] = {}
+    vectors, labels, half = _dense(whole), [r["lang"] for r in whole], np.array([r["half"] for r in whole], dtype=int)
+    model = fit_model(vectors, labels, centroids)
+    by_bin: dict[tuple[str, int], list] = {}
     for r in rows:
         if r["piece"] >= 0:
-            by_bin.setdefault(r["piece"], []).append(r)
-    # each bin's pieces are thinned evenly: their number only has to carry a 1 % quantile
-    pieces = {b: _dense(v[:: -(-len(v) // 400)]) for b, v in by_bin.items() if b <= LAST_BIN}
-    return fit_model(_dense(whole), [r["lang"] for r in whole], pieces, centroids)
+            by_bin.setdefault((r["lang"], r["piece"]), []).append(r)
+    # the bounds are those of new texts: the pieces of either half meet the centroids of the other
+    cosines: dict[tuple[str, int], list] = {}
+    for side in (0, 1):
+        trained = np.flatnonzero(half != side)
+        other = fit_model(vectors[trained], [labels[i] for i in trained], centroids)
+        for (label, b), pieces in by_bin.items():
+            # thinned evenly: their number only has to carry the quantile
+            tested = [r for r in pieces[:: -(-len(pieces) // MOST_PIECES)] if r["half"] == side]
+            if tested and label in other.languages:
+                cosines.setdefault((label, b), []).append((other.weigh(_dense(tested)) @ other.centroids.T).max(1))
+    model.floors = fit_floors({key: np.concatenate(v) for key, v in cosines.items()}, model.languages)
+    return model
 
 
 def _score_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

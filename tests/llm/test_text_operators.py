@@ -159,6 +159,29 @@ def test_language_of_held_out_texts(spark):
     assert language_id.identify(frame(spark, rows[:3]), empty).where("rejected").count() == 3
 
 
+POLISH = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności zawarte w niniejszej Deklaracji bez względu na jakiekolwiek różnice rasy, koloru, płci, języka, wyznania, poglądów politycznych i innych przekonań."
+
+
+def test_long_gibberish_and_unseen_languages_are_rejected(spark):
+    rng = random.Random(17)
+    made = {lang: ["".join(rng.choice(words) for _ in range(2)) for _ in range(400)] for lang, words in WORDS.items()}
+
+    def prose(lang, n):
+        return " ".join(rng.choice(WORDS[lang] if rng.random() < 0.4 else made[lang]) for _ in range(n))
+
+    def repeats(lang):
+        return f"{prose(lang, 4)} {(rng.choice(made[lang]) + ' ') * 400}"
+
+    rows = [(i, repeats(lang) if i % 25 == 0 else prose(lang, rng.choice([10, 40, 150, 600])), lang) for i, lang in enumerate(rng.choices(list(WORDS), k=420))]
+    model = language_id.fit(frame(spark, rows[:360]))
+    noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=n)) for n in (400, 3_000, 20_000)]
+    foreign = [(1000 + i, t, None) for i, t in enumerate([POLISH, *noise])]
+    known = [*rows[360:], (2000, repeats("en"), "en"), (2001, repeats("fr"), "fr")]
+    got = {r.doc_id: r for r in language_id.identify(frame(spark, [*known, *foreign]), model).collect()}
+    assert [d for d, *_ in foreign if not got[d].rejected] == []
+    assert [d for d, *_ in known if got[d].rejected] == []
+
+
 def test_vectors_do_not_depend_on_neighbours():
     texts = ["the cat", "", "über straße", "x" * 300]
     data, offsets = string_buffers(pa.array(texts))
