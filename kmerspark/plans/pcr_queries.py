@@ -338,7 +338,9 @@ def _spcr(spark, sf_dir):
 
     counts = checkpointed(_counts(spark, sf_dir))
     top = checkpointed(primers.most_frequent(primers.match(counts, primers.oligos(pairs, K), K, 2)))
-    steps = checkpointed(assembly.path_steps(counts, top, pairs, K, {"max_dfs_states": 10_000}))
+    bases = F.coalesce(F.sum(F.length("seq")), F.lit(0))
+    budget = syn.plain_reads(spark, sf_dir).agg(primers.node_budget(bases)).first()[0]
+    steps = checkpointed(assembly.path_steps(counts, top, pairs, K, {"node_budget": budget}))
     return pairs, steps, amplicons.distinct_products(amplicons.products(steps, K), 10)
 
 
