@@ -1,6 +1,8 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
-Detected: e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, payment cards, IBANs,
+Detected: e-mail addresses, telephone numbers (international ones in any groups; national ones
+of three parts, of groups of two digits, or of an area with its 0 and a number), IPv4 and IPv6
+addresses (whole or with ``::``), payment cards (groups of four, or 4-6-5 and 4-6-4), IBANs,
 national identifiers (ddd-dd-dddd), other long digit runs, secrets (``token = "..."``,
 ``password=...``, ``Bearer ...``, cloud access keys, private-key blocks) and names of
 persons after a title or made of a known given name and a family name.
@@ -60,10 +62,15 @@ _PATTERNS = {
     "secret": r"(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passwd|password|pwd|auth)\b[\"']?\s*[:=]\s*[\"']?)(?P<v1>[A-Za-z0-9+/_\-.~]{6,}=*)|\b(?i:bearer)\s+(?P<v2>[A-Za-z0-9+/_\-.~]{16,}=*)|\b(?P<v3>(?:AKIA|ASIA|AIza|ghp_|gho_|sk-|xox[abp]-)[A-Za-z0-9_\-]{12,})|\b(?P<v4>(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,})\b",
     "email": r"[\w][\w.+\-]{0,63}@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,24}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "card": r"(?<![0-9.\-])(?:[0-9]{4}[ \-]?){3}[0-9]{1,7}(?![0-9\-])",
+    "card": r"(?<![0-9.\-])(?:(?:[0-9]{4}[ \-]?){3}[0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5})(?![0-9\-])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{1,4}\)[ .\-]?|[0-9]{2,4}[ .\-])[0-9]{3,4}[ .\-][0-9]{3,4}(?!\w)|(?<!\w)\+[0-9]{8,15}(?!\w)",
-    "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![\w:])",
+    "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{1,4}\)[ .\-]?|[0-9]{2,4}[ .\-])[0-9]{3,4}[ .\-][0-9]{3,4}(?!\w)|(?<!\w)\+[0-9]{8,15}(?!\w)"
+    # international in any groups, 8 to 15 digits
+    r"|(?<![\w.])(?:\+|00(?=[0-9]{1,3}[ .\-]))[1-9](?:(?:[ .\-]?\(?|\)[ .\-]?)[0-9]){7,14}(?!\w|[.\-][0-9])"
+    # national: 06 12 34 56 78, 089 12 34 56 78; 612 34 56 78, 91 234 56 78; 030 1234567, (030) 1234567, 06021 12345
+    r"|(?<![\w.])(?:0[1-9][0-9]{0,3}(?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})|[6-9](?:[0-9] [0-9]{3}|[0-9]{2} [0-9]{2})(?: [0-9]{2}){2}|[6-9](?:[0-9]-[0-9]{3}|[0-9]{2}-[0-9]{2})(?:-[0-9]{2}){2})(?!\w|[.\-][0-9])"
+    r"|(?<![\w./])(?:0[1-9][0-9]{0,3}[ /\-][0-9]{6,8}|0[1-9][0-9]{2,3}[ /\-][0-9]{5}|\(0[1-9][0-9]{0,3}\) ?[0-9]{5,8})(?!\w|[./\-][0-9])",
+    "ipv6": r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:|:(?::[0-9A-Fa-f]{1,4}){2,7})(?![\w:]|\.[0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
     "number": r"(?<![\w.])[0-9]{8,19}(?![\w])",
     "person": rf"\b{_TITLES}\.?[ ](?P<p1>{_CAPITAL}{_NAME_REST}(?:[ ]{_CAPITAL}{_NAME_REST}){{0,2}})|\b(?P<p2>(?:{'|'.join(_KNOWN)})[ ]{_CAPITAL}{_NAME_REST})\b",
@@ -75,17 +82,17 @@ _NEEDS = {
     "secret": re.compile(r"[0-9a-fA-F]{32}|(?i:key|token|secret|passw|pwd|auth|bearer)|AKIA|ASIA|AIza|gh[op]_|sk-|xox"),
     "email": re.compile("@"),
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}"),
-    "card": re.compile(r"[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}"),
+    "card": re.compile(r"[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4}"),
     "ssn": re.compile(r"[0-9]-[0-9]{2}-[0-9]{4}"),
-    "phone": re.compile(r"[0-9]{3}[ .\-][0-9]{3}|\+[0-9]{8}"),
-    "ipv6": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]"),
+    "phone": re.compile(r"[0-9]{3}[ .\-][0-9]{3}|\+[0-9]|00[1-9][0-9]{0,2}[ .\-]|[0-9][ .\-][0-9]{2}[ .\-][0-9]{2}|0[1-9][0-9]{0,3}(?:[ /\-]|\) ?)[0-9]{5}"),
+    "ipv6": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]|::[0-9A-Fa-f]"),
     "ipv4": re.compile(r"[0-9]\.[0-9]{1,3}\.[0-9]"),
     "number": re.compile("[0-9]{8}"),
 }
 _WORDS = "|".join([_TITLES[3:-1], *_KNOWN])
 _NEEDS["person"] = re.compile(rf"\b(?:{_WORDS})\b")
 #: The same needs for a whole column in one linear pass; texts without a hit are left alone.
-_COLUMN_NEEDS = r"[0-9]{8}|[0-9a-fA-F]{32}|@|PRIVATE KEY|[0-9][ .:\-][0-9(]|[0-9a-fA-F]:[0-9A-Fa-f]{1,4}:|(?i:key|token|secret|passw|pwd|auth|bearer)|AKIA|ASIA|AIza|gh[op]_|sk-|xox|[A-Z]{2}[0-9]{2}|\+[0-9]|\) ?[0-9]"
+_COLUMN_NEEDS = r"[0-9]{8}|[0-9a-fA-F]{32}|@|PRIVATE KEY|[0-9][ .:\-][0-9(]|[0-9a-fA-F]:[0-9A-Fa-f]{1,4}:|::[0-9a-fA-F]|[0-9]/[0-9]{5}|(?i:key|token|secret|passw|pwd|auth|bearer)|AKIA|ASIA|AIza|gh[op]_|sk-|xox|[A-Z]{2}[0-9]{2}|\+[0-9]|\) ?[0-9]"
 _COLUMN_NAMES = rf"(?:^|[^\pL\pN_])(?:{_WORDS})(?:[^\pL\pN_]|$)"
 
 _CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâãäåæèéêëìíîïòóôõöøùúûü", "çðñþß", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜ", "ÇÐÑÞ", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЫЭЮЯЁ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"]
@@ -101,6 +108,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _is_ipv6(text: str) -> bool:
+    """Whether a match of the pattern is an address: names in code are joined by ``::`` too."""
+    groups = [g for g in text.split(":") if g]
+    return "::" not in text or len(groups) < 8 and (len(groups) > 2 or any(c.isdigit() for c in text))
+
+
 class Surrogates:
     """Keyed format-preserving permutations without fixed points, one family per type."""
 
@@ -186,12 +199,17 @@ class Surrogates:
                 return all(int(p) < 256 and (len(p) == 1 or p[0] != "0") for p in v.split("."))
             return self._walk(text, kind, good) if good(text) else self.permute(text, kind)
         if kind == "ipv6":
-            return self._hex(text, kind)
+            out = self._hex(text, kind)
+            while _is_ipv6(text) and not _is_ipv6(out):
+                out = self._hex(out, kind)
+            return out
         if kind == "card":
             digits = re.sub(r"\D", "", text)
             return self._walk(text, kind, lambda v: luhn(re.sub(r"\D", "", v))) if luhn(digits) else self._walk(text, kind, lambda v: not luhn(re.sub(r"\D", "", v)))
         if kind == "phone":
-            return self._walk(text, kind, lambda v: True)
+            def is_phone(v: str) -> bool:
+                return _COMPILED[kind].fullmatch(v) is not None
+            return self._walk(text, kind, is_phone) if is_phone(text) else self.permute(text, kind)
         if kind == "iban":
             return text[:2] + self.permute(text[2:], kind)
         if kind in ("secret", "private_key"):
@@ -251,6 +269,8 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
             start, end = match.span(group) if group else match.span()
             if kind == "iban" and not any(c.isdigit() for c in match[0][4:]):
                 continue
+            if kind == "ipv6" and not _is_ipv6(match[0]):
+                continue
             if not taken:
                 taken = bytearray(len(text))
             if any(taken[start:end]):

@@ -228,6 +228,32 @@ def test_surrogates_replace_and_keep_form(spark):
     assert out[6].text is None and out[7].text == "" and out[8].text == rows[8][1] and out[8].found == 0
 
 
+FORMS = {
+    "ipv6": ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:db8:85a3::8a2e:370:7334", "2001:DB8::A", "2001:db8:1::", "::ffff:a:b1", "2001:db8:0:1:2:3:4:5"],
+    "phone": ["+33 6 12 34 56 78", "06 12 34 56 78", "01.23.45.67.89", "+49 30 1234567", "030 1234567", "(030) 1234567", "030/1234567", "+44 7700 900123", "0033 6 12 34 56 78", "+49 (0) 30 1234567", "612 34 56 78", "91 234 56 78", "+1 (974) 555-3436"],
+    "card": ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904"],
+}
+
+
+def test_entities_of_every_written_form(spark):
+    s = pii.Surrogates()
+    cases = [(kind, value) for kind, values in FORMS.items() for value in values]
+    out = {r.doc_id: r.text for r in pii.replace_pii(frame(spark, [(i, f"see {v}, please", None) for i, (_, v) in enumerate(cases)])).collect()}
+    for i, (kind, value) in enumerate(cases):
+        text = f"see {value}, please"
+        assert [(text[a:b], k) for a, b, k in pii.find_entities(text)] == [(value, kind)]
+        new = s.surrogate(kind, value)
+        assert out[i] == f"see {new}, please" and new != value and len(new) == len(value)
+        assert [k for *_, k in pii.find_entities(out[i])] == [kind]
+    clean = ["std::vector add::face a::b x[::2] 12:30:45", "on 01.02.2024 or 05-11-1998 or 2024-01-02 10:20:30", "pages 12 34 56, version 3.10.2, 1,234,567 of 0.123456", "at +5 10 or 01/02/2024"]
+    assert [pii.find_entities(t) for t in clean] == [[]] * len(clean)
+    mapped = "from ::ffff:97.51.17.173 by +1 974 555 3436 97.51.17.174"
+    assert [(mapped[a:b], k) for a, b, k in pii.find_entities(mapped)] == [("97.51.17.173", "ipv4"), ("+1 974 555 3436", "phone"), ("97.51.17.174", "ipv4")]
+    assert [k for *_, k in pii.find_entities("hosts 64.147.79.24 and 97.164.96.63")] == ["ipv4", "ipv4"]
+    made = {s.surrogate("phone", f"06 {i // 100:02d} {i % 100:02d} 56 78") for i in range(2000)}
+    assert len(made) == 2000
+
+
 def test_surrogates_are_one_to_one_without_fixed_points():
     s = pii.Surrogates()
     values = [f"{i:04d}" for i in range(10_000)]
