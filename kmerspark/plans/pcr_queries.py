@@ -78,9 +78,12 @@ def _top(spark, sf_dir) -> DataFrame:
     return primers.most_frequent(_matched(spark, sf_dir))
 
 
-def _edges(spark, sf_dir) -> DataFrame:
-    """(gene, kmer, src, dst, pos, n): the counted k-mers along each template's amplicon, oriented."""
-    starts = F.sequence(F.lit(1), F.lit(syn.AMPLICON - K + 1))
+def _edges(spark, sf_dir, whole: bool = False) -> DataFrame:
+    """(gene, kmer, src, dst, pos, n): the counted k-mers along each template's amplicon, oriented.
+
+    ``whole``: along the whole template.
+    """
+    starts = F.sequence(F.lit(1), (F.length("dna") if whole else F.lit(syn.AMPLICON)) - K + 1)
     windows = syn.templates(spark, sf_dir).select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("gene"), F.explode(F.transform(starts, lambda p: F.struct((p - 1).alias("pos"), F.substring(F.col("dna"), p, F.lit(K)).alias("s")))).alias("w"))
     clean = windows.select("gene", "w.pos", "w.s").where(F.instr("s", "N") == 0).withColumn("canonical", sq.encode(sq.canonical("s")))
     counts = _counts(spark, sf_dir).where("n >= 2").withColumnRenamed("kmer", "canonical")
@@ -227,14 +230,14 @@ def graph_tips(spark, sf_dir):
         assembly.remove_tips(graph, 0.5)
         return [(gene, len(before), len(before) - len(graph.ahead))]
 
-    return _per_gene(_edges(spark, sf_dir), work, "gene string, n_nodes bigint, n_removed bigint")
+    return _per_gene(_edges(spark, sf_dir, whole=True), work, "gene string, n_nodes bigint, n_removed bigint")
 
 
 def graph_bubbles(spark, sf_dir):
     def work(gene, graph):
         return [(gene, a, b, len(ways)) for a, b, ways in threading.bubbles(graph)]
 
-    return _per_gene(_edges(spark, sf_dir), work, "gene string, source bigint, sink bigint, branches bigint")
+    return _per_gene(_edges(spark, sf_dir, whole=True), work, "gene string, source bigint, sink bigint, branches bigint")
 
 
 def _read_kmers(spark, sf_dir) -> DataFrame:
@@ -314,7 +317,7 @@ def amplicon_rank(spark, sf_dir):
 
 
 def _template_products(spark, sf_dir) -> DataFrame:
-    rows = syn.templates(spark, sf_dir).select(F.concat(F.lit("g"), (F.col("item_id") % 5).cast("string")).alias("gene"), F.substring("dna", 1, 150).alias("seq"), F.length("dna").cast("double").alias("score"), F.lit(150).alias("length"), F.lit(2.0).alias("median"))
+    rows = syn.templates(spark, sf_dir).select(F.concat(F.lit("g"), (F.col("item_id") % 5).cast("string")).alias("gene"), F.col("dna").alias("seq"), F.length("dna").cast("double").alias("score"), F.length("dna").alias("length"), F.lit(2.0).alias("median"))
     return rows
 
 
