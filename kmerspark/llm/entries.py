@@ -80,14 +80,19 @@ SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(start_byte AS BIGINT) AS
     "op5_repetition_rules": quality.ORACLE,
     "op7_warc_chunks": warc.ORACLE,
     "op10_ngram_jaccard_join": """
-WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
 grams AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:least(i + 2, len(w))], ' '))) AS g FROM words WHERE len(w) > 0),
 sets AS (SELECT doc_id, list_sort(list(DISTINCT g)) AS s FROM grams GROUP BY doc_id),
-nodes AS (SELECT list_sort(list(doc_id)) AS docs, min(doc_id) AS d, s, len(s) AS size FROM sets GROUP BY s),
-tokens AS (SELECT d, size, docs, unnest(s) AS g FROM nodes),
-pairs AS (SELECT a.d AS doc_a, b.d AS doc_b, any_value(a.size) AS sa, any_value(b.size) AS sb, count(*) AS n, any_value(a.docs) AS docs_a, any_value(b.docs) AS docs_b FROM tokens a JOIN tokens b ON a.g = b.g AND a.d < b.d GROUP BY a.d, b.d)
-SELECT doc_a, doc_b, round(n / (sa + sb - n), 9) AS jaccard, docs_a, docs_b FROM pairs WHERE n / (sa + sb - n) >= 0.6 - 1e-12
-UNION ALL SELECT d, d, 1.0, docs, docs FROM nodes WHERE len(docs) > 1
+nodes AS (SELECT min(doc_id) AS d, s, len(s) AS size FROM sets GROUP BY s),
+member AS (SELECT doc_id, d FROM sets JOIN nodes USING (s)),
+tokens AS (SELECT d, size, unnest(s) AS g FROM nodes),
+pairs AS (SELECT a.d AS a, b.d AS b, any_value(a.size) AS sa, any_value(b.size) AS sb, count(*) AS n FROM tokens a JOIN tokens b ON a.g = b.g AND a.d < b.d GROUP BY a.d, b.d),
+near AS (SELECT a, b FROM pairs WHERE n / (sa + sb - n) >= 0.4 - 1e-12),
+both_ways AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT DISTINCT a AS x, a AS y FROM both_ways UNION SELECT r.x, e.b FROM reach r JOIN both_ways e ON r.y = e.a),
+class AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+links AS (SELECT a AS x, count(*) AS links FROM both_ways GROUP BY a)
+SELECT t.doc_id, coalesce(c.c, m.d, t.doc_id) AS class_id, coalesce(l.links, 0) AS links FROM documents t LEFT JOIN member m ON t.doc_id = m.doc_id LEFT JOIN class c ON m.d = c.x LEFT JOIN links l ON m.d = l.x
 """,
 }
 

@@ -21,7 +21,7 @@ def test_stages_in_order_and_columns(spark, tmp_path):
             kept = {r.doc_id for r in language_id.identify(before, model).where("not rejected").collect()}
             assert {r.doc_id for r in docs.collect()} == kept
         if name == "ngram_jaccard_join":
-            assert ngram_join.similar_documents(docs).count() == 0
+            assert ngram_join.similar_documents(docs).where("links > 0 or class_id <> doc_id").count() == 0
         if name == "pii_surrogates":
             surrogates = pii.Surrogates()
             assert {r.doc_id: r.text for r in docs.collect()} == {r.doc_id: pii.scrub(r.text, surrogates)[0] for r in before.collect()}

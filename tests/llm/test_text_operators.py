@@ -34,51 +34,79 @@ def near_docs(seed=0, groups=12):
     return [(i, t, None) for i, t in enumerate(rows)]
 
 
-def brute_pairs(rows, threshold=0.6):
+def brute_links(rows, threshold=ngram_join.THRESHOLD):
+    """(pairs of distinct sets, set of each document, (class, links) of each row)."""
     sets = {}
     for d, t, _ in rows:
         s = frozenset(grams(t))
         if s:
             sets.setdefault(s, []).append(d)
-    nodes = list(sets.items())
-    found = {(min(a), min(a)) for s, a in nodes if len(a) > 1}
-    for i, (s, a) in enumerate(nodes):
-        for t, b in nodes[:i]:
-            if len(s & t) / len(s | t) >= threshold:
-                found.add(tuple(sorted((min(a), min(b)))))
-    return found
+    nodes = list(sets)
+    pairs = [(s, t) for i, s in enumerate(nodes) for t in nodes[:i] if len(s & t) / len(s | t) >= threshold]
+    up = {s: s for s in nodes}
+
+    def find(s):
+        while up[s] is not s:
+            s = up[s]
+        return s
+
+    links = dict.fromkeys(nodes, 0)
+    for s, t in pairs:
+        links[s] += 1
+        links[t] += 1
+        up[find(s)] = find(t)
+    least = {}
+    for s in nodes:
+        ids = [d for d in sets[s] if d is not None]
+        least[find(s)] = min([*ids, *([least[find(s)]] if least.get(find(s)) is not None else [])], default=None)
+    out = []
+    for d, t, _ in rows:
+        s = frozenset(grams(t))
+        out.append((d, least[find(s)], links[s]) if s else (d, d, 0))
+    return pairs, find, out
+
 
+def in_order(rows):
+    return sorted(rows, key=str)
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_join_equals_brute_force(spark, seed):
+
+@pytest.mark.parametrize("seed,split", [(0, ngram_join.LIST_SPLIT), (1, ngram_join.LIST_SPLIT), (2, 3)])
+def test_join_equals_brute_force(spark, monkeypatch, seed, split):
     rows = near_docs(seed)
-    got = {(r.doc_a, r.doc_b) for r in ngram_join.similar_documents(frame(spark, rows)).collect()}
-    assert got == brute_pairs(rows)
+    rows += [rows[3], (None, rows[0][1], None), (None, "alone in the whole table", None), (rows[5][0], rows[9][1], None)]
+    if split < 10:
+        # many tokens count as frequent, and their lists are cut
+        monkeypatch.setattr(ngram_join, "frequent_tokens", lambda docs, n, f=ngram_join.frequent_tokens: f(docs, n, 5, 2))
+    got = [tuple(r) for r in ngram_join.similar_documents(frame(spark, rows), list_split=split).collect()]
+    assert in_order(got) == in_order(brute_links(rows)[2])
 
 
-def test_one_of_each_group_stays(spark):
-    rows = near_docs(2)
-    up = {d: d for d, *_ in rows}
+def test_a_text_does_not_depend_on_the_empty_one_before_it():
+    text = "some longer text of several words that stands here more than once"
+    for middle in (None, "", " \n"):
+        found = {row: tokens.tolist() for row, tokens in ngram_join.text_sets(pa.array([text, middle, middle, text, text]), 3)}
+        assert set(found) == {0, 3, 4} and found[0] == found[3] == found[4]
 
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
 
-    copies = {}
-    for d, t, _ in rows:
-        s = frozenset(grams(t))
-        if s:
-            a, b = find(copies.setdefault(s, d)), find(d)
-            up[max(a, b)] = min(a, b)
-    for a, b in brute_pairs(rows):
-        a, b = find(a), find(b)
-        up[max(a, b)] = min(a, b)
-    kept = ngram_join.one_of_each(frame(spark, [*rows, rows[3], (None, rows[0][1], None)]))
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_one_of_each_class_stays(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(ngram_join, "COPIES_BROADCAST", broadcast)
+    rows = near_docs(2)
+    _, _, want = brute_links(rows)
+    kept = ngram_join.one_of_each(frame(spark, [*rows, rows[3], rows[3], (None, rows[0][1], None)]))
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(d for d, *_ in rows if find(d) == d)
+    assert sorted(i for i in ids if i is not None) == sorted(d for d, c, _ in want if d == c)
     assert ids.count(None) == 1 and kept.columns == frame(spark, rows).columns
     assert ngram_join.similar_documents(frame(spark, rows).limit(0)).count() == 0
+    assert ngram_join.one_of_each(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_a_repeated_identifier_is_judged_text_by_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a, None), (5, a, None), (5, b, None), (7, b, None), (5, None, None), (5, None, None), (8, c, None), (8, c.upper(), None)]
+    kept = [(r.doc_id, r.text) for r in ngram_join.one_of_each(frame(spark, rows)).collect()]
+    assert [x for x in kept if x[0] != 8] and in_order(x for x in kept if x[0] != 8) == in_order([(3, a), (5, b), (5, None)])
+    assert [d for d, _ in kept].count(8) == 1
 
 
 def test_large_components_go_by_blocks_and_joins(spark):
@@ -86,13 +114,19 @@ def test_large_components_go_by_blocks_and_joins(spark):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(w if rng.random() > 0.02 else f"z{rng.random()}" for w in base), None) for i in range(24)]
     docs = frame(spark, rows)
-    table = ngram_join.nodes(docs, np.zeros(0, np.uint64), 3, 0.6).cache()
+    table = ngram_join.nodes(ngram_join.row_sets(docs, np.zeros(0, np.uint64), 3, 0.6)).cache()
     comp = ngram_join.connected_components(ngram_join.candidates(table, 0.6).where("not small"))
-    want = {tuple(sorted(r[:2])) for r in ngram_join._verified(docs, comp, 3, 0.6).collect()}
+
+    def links(**options):
+        found = {}
+        for node, _, n in ngram_join._verified(docs, comp, 3, 0.6, **options).collect():
+            found[node] = found.get(node, 0) + n
+        return found
+
+    want = links()
     for options in ({"block_nodes": 5}, {"broadcast_most": 0}, {"block_nodes": 7, "broadcast_most": 0}):
-        got = [tuple(sorted(r[:2])) for r in ngram_join._verified(docs, comp, 3, 0.6, **options).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
-    assert len(want) == len(brute_pairs(rows))
+        assert links(**options) == want
+    assert sum(want.values()) == 2 * len(brute_links(rows, 0.6)[0])
 
 
 @pytest.mark.parametrize("task_edges", [10**6, 50, 15])
@@ -132,9 +166,14 @@ def test_incremental_answers_equal_direct_ones():
     rng = np.random.default_rng(6)
     base = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
     sets = [np.unique(np.concatenate([rng.permutation(base)[: 300 - k % 60], rng.integers(0, 2**63, k % 40).astype(np.uint64)])) for k in range(50)]
-    a, b, j = ngram_join.verify_group(np.arange(50), sets, np.zeros(50, int), 0.6)
+    hits = list(ngram_join.group_hits(np.arange(50), sets, np.zeros(50, int), 0.6))
+    got = {(min(i, x), max(i, x)): round(v, 9) for i, others, j in hits for x, v in zip(others.tolist(), j.tolist())}
     want = {(x, y): len(np.intersect1d(sets[x], sets[y])) / len(np.union1d(sets[x], sets[y])) for x in range(50) for y in range(x + 1, 50)}
-    assert {(x, y): round(v, 9) for x, y, v in zip(a.tolist(), b.tolist(), j.tolist())} == {k: round(v, 9) for k, v in want.items() if v >= 0.6}
+    want = {k: round(v, 9) for k, v in want.items() if v >= 0.6}
+    assert got == want
+    node, root, links = ngram_join.group_links(np.arange(50) * 3 - 20, iter(hits))
+    assert dict(zip(node.tolist(), links.tolist())) == {x * 3 - 20: n for x in range(50) if (n := sum(x in k for k in want))}
+    assert all(r <= x for x, r in zip(node.tolist(), root.tolist()))
 
 
 WORDS = {"en": "the and of to in that is was for with as on be at by this have from or".split(), "fr": "le la les des et est dans que pour une avec sur pas être aux cette où".split(), "de": "der die und das ist nicht ein zu den mit sich auf für von dem über".split()}
