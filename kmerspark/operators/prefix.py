@@ -2,39 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-RANGE_ROWS = 200_000
-
+from kmerspark.session import checkpointed
 
-def _position(key: str, cuts: list[int]) -> Column:
-    """How many cuts are at or below the key, by a balanced tree of comparisons."""
+RANGE_ROWS = 200_000
 
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col(key) < cuts[mid], tree(low, mid)).otherwise(tree(mid + 1, high))
 
-    return tree(0, len(cuts))
+def fresh_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores until no column has it."""
+    while any(c.lower() == name.lower() for c in taken):
+        name += "_"
+    return name
 
 
-def with_offsets(rows: DataFrame, key: str, amount: Column, name: str = "offset", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``rows`` with the sum of ``amount`` over all rows before each, in the order of ``key``.
+def with_offsets(rows: DataFrame, keys: list[Column], amount: Column, name: str = "offset", range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` with the sum of ``amount`` over all rows before each in ``name``, one row with the grand total in ``total``).
 
-    The table is cut into key ranges; each is summed on its own, and the ranges' totals (one
-    row each) are summed up in order.
+    Rows are ordered by ``keys``. One range partitioning puts them into sorted partitions, each
+    summed by a running total as it is read; the partitions' totals (a row each) are summed up
+    in order and added. Rows with equal keys stand in any order, so they too are spread over
+    partitions. The ranges are written down, as bounds drawn again could differ.
     """
-    ranges = max(1, -(-rows.count() // range_rows))
-    cuts: list[int] = []
-    if ranges > 1:
-        found = rows.select(F.col(key).cast("double").alias(key)).approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.1 / ranges)
-        cuts = sorted({int(c) for c in found})
-    placed = rows.withColumn("_part", _position(key, cuts)).withColumn("_amount", amount.cast("bigint"))
-    totals = placed.groupBy("_part").agg(F.sum("_amount").alias("_total"))
-    before = totals.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    summed = placed.withColumn("_inside", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
-    joined = summed.join(before, F.col("_part") == F.col("_p"))
-    return joined.withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint")).drop("_part", "_amount", "_inside", "_p", "_before")
+    spark = rows.sparkSession
+    add, part, tie = (fresh_name(rows.columns, c) for c in ("_amount", "_part", "_tie"))
+    ranges = max(1, -(-rows.count() // range_rows), spark.sparkContext.defaultParallelism)
+    marked = rows.withColumn(add, F.coalesce(amount.cast("bigint"), F.lit(0))).withColumn(tie, F.monotonically_increasing_id())
+    sorted_rows = marked.repartitionByRange(ranges, *keys, F.col(tie)).sortWithinPartitions(*keys, tie).drop(tie).withColumn(part, F.spark_partition_id())
+    inside = fresh_name(sorted_rows.columns, name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upto = 0
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index(add)).to_numpy()
+            before = upto + np.cumsum(own) - own
+            upto += int(own.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], names=[*batch.schema.names, inside])
+
+    fields = [*rows.schema.fields, StructField(add, LongType()), StructField(part, IntegerType()), StructField(inside, LongType())]
+    summed = checkpointed(sorted_rows.mapInArrow(run, StructType(fields)))
+    totals = summed.groupBy(part).agg(F.sum(add).alias("_sum"))
+    # one row a range
+    upto = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col(part).alias("_range"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before"))
+    joined = summed.join(F.broadcast(offsets), F.col(part) == F.col("_range"))
+    found = joined.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col(inside) + F.col("_before")).cast("bigint").alias(name))
+    return found, totals.agg(F.coalesce(F.sum("_sum"), F.lit(0)).cast("bigint").alias("total"))

@@ -103,7 +103,7 @@ def read(spark: SparkSession, paths: list[str], max_reads: int = 0, validate_eve
     for frame in frames[1:]:
         every = every.unionByName(frame)
     sizes = every.groupBy("_file", "file").agg((F.max("rec") + 1).alias("n")).withColumn("_key", F.dense_rank().over(_file_order()))
-    offsets = with_offsets(sizes, "_key", F.col("n")).select(F.col("file").alias("_name"), F.col("_file").alias("_number"), "offset")
+    offsets = with_offsets(sizes, [F.col("_key").asc()], F.col("n"))[0].select(F.col("file").alias("_name"), F.col("_file").alias("_number"), "offset")
     joined = every.join(F.broadcast(offsets), (F.col("file") == F.col("_name")) & (F.col("_file") == F.col("_number")))
     numbered = joined.select((F.col("offset") + F.col("rec")).alias("read_id"), "seq")
     return numbered.where(F.col("read_id") < max_reads) if max_reads else numbered

@@ -33,10 +33,11 @@ def windows(frame: DataFrame) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, source, doc_id, seq): all documents as reads, numbered in order."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", dna().alias("dna"))
-    count = F.floor(F.greatest(F.length("dna") - (READ_LENGTH - STEP + 1), F.lit(0)) / STEP) + 1
-    numbered = with_offsets(docs.select("doc_id", count.alias("n")), "doc_id", F.col("n"), "first").select(F.col("doc_id").alias("_id"), "first")
-    cut = windows(docs.join(numbered, F.col("doc_id") == F.col("_id")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    # two bases a byte
+    count = F.floor(F.greatest(2 * F.octet_length("text") - (READ_LENGTH - STEP + 1), F.lit(0)) / STEP) + 1
+    numbered, _ = with_offsets(docs, [F.col("doc_id").asc()], count, "first", 2_000)
+    cut = windows(numbered.select("doc_id", "source", "first", dna().alias("dna")))
     return cut.select((F.col("first") + F.col("o") / STEP).cast("bigint").alias("read_id"), "source", "doc_id", "seq")
 
 
@@ -53,7 +54,7 @@ def mates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sides = []
     for side in (0, 1):
         one = keyed.where(F.col("turn") % 2 == side)
-        sides.append(with_offsets(one, "key", F.lit(1), "i").select("i", "seq"))
+        sides.append(with_offsets(one, [F.col("key").asc()], F.lit(1), "i")[0].select("i", "seq"))
     return sides[0], sides[1]
 
 
