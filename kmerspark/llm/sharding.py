@@ -1,65 +1,60 @@
 """Contiguous shards of equal byte size from global prefix sums.
 
 Documents in the order of ``doc_id`` are cut where the running byte total passes equal
-targets. Ranges of identifiers stand in for partitions: each range is sorted and summed on
-its own, the totals of the ranges (one row a range) are summed up in order, and every
-document's prefix is its range's offset plus its running sum within the range. Only
-identifiers and sizes are shuffled, and no stage sorts the whole table in one task.
+targets. One range partitioning sorts them; each partition sums as it is read, the totals of
+the partitions (one row each) are summed up in order, and a document's prefix is its
+partition's offset plus its running sum within. For the numbers alone only identifiers and
+sizes are shuffled; ``write_shards`` shuffles the documents once.
 
 A document belongs to the shard in which its first byte falls, so a shard's size differs
-from the target by less than one document.
+from the target by less than one document, whatever a text's length.
 
 Defined results: a null or empty text has 0 bytes and stays with its neighbours; a null
 identifier comes before all others. Rows with equal identifiers are taken by size, and
-equal rows may stand for one another. An empty table gives an empty result. Where there are
-fewer documents than shards, some numbers stay unused.
+equal rows may stand for one another; many of them are spread over partitions like any
+others. An empty table gives an empty result. Where there are fewer documents than shards,
+some numbers stay unused. ``assign`` ignores other columns; ``write_shards`` keeps them all,
+and adds underscores to the name of its folder column where a column has it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kmerspark.operators.prefix import fresh_name, with_offsets
+
 SHARDS = 64
 RANGE_ROWS = 100_000
 
 
+def _located(rows: DataFrame, doc: Column, size: Column, shards: int, range_rows: int, start: str, shard: str) -> DataFrame:
+    """``rows`` with the byte before each in ``start`` and its ``shard``."""
+    summed, grand = with_offsets(rows, [doc.asc_nulls_first(), size.asc()], size, start, range_rows)
+    whole = fresh_name(summed.columns, "total")
+    # the grand total is one row
+    target = F.greatest(F.ceil(F.col(whole) / shards), F.lit(1))
+    number = F.least(F.floor(F.col(f"`{start}`") / target), F.lit(shards - 1)).cast("int")
+    return summed.crossJoin(F.broadcast(grand.toDF(whole))).withColumn(shard, number).drop(whole)
+
+
+def _bytes() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(doc_id, n_bytes, start_byte, shard) for every row."""
-    sized = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
-    # how many ranges there are follows the rows; their bounds are bounded by that number
-    ranges = max(1, -(-docs.count() // range_rows))
-    cuts: list[float] = []
-    if ranges > 1:
-        cuts = sorted(set(docs.select(F.col("doc_id").cast("bigint")).approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)))
-    bounds = F.array(*[F.lit(int(c)).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    part = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))), F.lit(0)) if len(cuts) <= 64 else _position(cuts)
-    placed = sized.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(part))
-    totals = placed.groupBy("part").agg(F.sum("n_bytes").alias("total"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("part").alias("_part"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    grand = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("grand"))
-    inside = Window.partitionBy("part").orderBy("doc_id", "n_bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = placed.withColumn("upto", F.sum("n_bytes").over(inside))
-    located = summed.join(offsets, F.col("part") == F.col("_part")).crossJoin(grand)
-    target = F.greatest(F.ceil(F.col("grand") / shards), F.lit(1))
-    start = (F.col("offset") + F.col("upto") - F.col("n_bytes")).cast("bigint")
-    shard = F.least(F.floor(start / target), F.lit(shards - 1)).cast("int")
-    return located.select("doc_id", "n_bytes", start.alias("start_byte"), shard.alias("shard"))
-
-
-def _position(cuts: list[float]):
-    """How many bounds are at or below doc_id, by a balanced tree of comparisons."""
-    def tree(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("doc_id") < int(cuts[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
-    return tree(0, len(cuts))
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write ``docs`` as one folder per shard, in order of ``doc_id`` within each."""
-    spans = assign(docs, shards).groupBy("shard").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    located = docs.join(F.broadcast(spans), (F.col("doc_id") >= F.col("low")) & (F.col("doc_id") <= F.col("high")))
-    located.drop("low", "high").repartition("shard").sortWithinPartitions("shard", "doc_id").write.partitionBy("shard").parquet(path)
+    sized = docs.select(F.col("doc_id").cast("bigint"), _bytes().alias("n_bytes"))
+    return _located(sized, F.col("doc_id"), F.col("n_bytes"), shards, range_rows, "start_byte", "shard").select("doc_id", "n_bytes", "start_byte", "shard")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -> str:
+    """Write ``docs`` as one folder per shard; the name of the folder column.
+
+    Every row is written once, with all its columns. The files of a folder follow each other
+    in the order of ``doc_id``, and so do the rows of a file.
+    """
+    shard, start = fresh_name(docs.columns, "shard"), fresh_name(docs.columns, "start_byte")
+    located = _located(docs, F.col("doc_id"), _bytes(), shards, range_rows, start, shard).drop(start)
+    located.write.partitionBy(shard).parquet(path)
+    return shard
