@@ -20,7 +20,9 @@ Defined results: a unit is a distinct (doc_id, source); rows that repeat one are
 together. A null source is a source, a null identifier an identifier. Null or negative
 ``n_chars`` counts as 0. Sources without weight or with no characters get the copies they
 have (epochs 1) if no weights are given, none otherwise; weights of absent sources are
-ignored, and negative or null ones count as 0. An empty table gives an empty result.
+ignored, and negative or null ones count as 0. An empty table gives an empty result. Texts are
+never looked at, so their length does not matter. Equal ties go by the order of the hash.
+Other columns are ignored by ``copies`` and kept by ``mix_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ ALPHA = 0.7
 ONE = 1 << 40
 BUCKET_ROWS = 50_000
 FAN_IN = 64
+#: Up to so many decisions, they are broadcast instead of shuffling the documents.
+BROADCAST_UNITS = 500_000
 
 
 def pivot(group: np.ndarray, mass: np.ndarray, tie: np.ndarray, seed: int) -> np.ndarray:
@@ -160,7 +164,10 @@ def mix_documents(docs: DataFrame, weights: DataFrame | None = None, alpha: floa
     while any(c.lower().startswith(f"{tag}mix_") for c in docs.columns):
         tag += "_"
     key, own, source, times, copy = (f"{tag}mix_{x}" for x in ("key", "id", "source", "times", "copy"))
-    decided = copies(docs, weights, alpha, seed).where("copies > 0").toDF(own, source, times)
+    decided = checkpointed(copies(docs, weights, alpha, seed).where("copies > 0").toDF(own, source, times))
+    # texts stay where they are while the decisions (about 50 bytes each) are few enough to go to them
+    if decided.count() <= BROADCAST_UNITS:
+        decided = F.broadcast(decided)
     # a plain equality drives the join; null identifiers meet under a substitute key
     meet = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(-(2**63)))
     joined = docs.withColumn(key, meet("doc_id")).join(decided.withColumn(key, meet(own)), key)
