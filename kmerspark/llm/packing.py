@@ -14,10 +14,13 @@ place of one or several taken at no more than the room. Wherever the search stan
 fit of what is left completes it, and replaces the incumbent if it is better. The search
 ends after ``most_nodes`` fillings; the incumbent stands then.
 
+Items go to cells by their row, not by their identifier, so that no identifier, or its lack,
+makes a cell larger.
+
 Defined results: a null length is 0. Items of length 0 are placed too. Each row is an item,
 so rows that repeat an identifier, or have none, are packed as often as they come. Equal
 items are interchangeable: which of them shares a bin is settled by identifier. An empty
-table gives an empty result.
+table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 CAPACITY = 8192
 CELL_ITEMS = 2048
-MOST_NODES = 400
+MOST_NODES, NODE_STEPS = 400, 600
 CELLS_A_TASK = 8
 
 
@@ -55,17 +58,21 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
     """Bins needed by volume, and by the items over half the capacity with what fits beside none of them."""
-    total = -(-sum(sizes) // capacity) if sizes else 0
-    half = sum(2 * s > capacity for s in sizes)
-    best = max(total, half, 1 if sizes else 0)
-    if sizes:
-        values = np.array(sizes)
-        for k in np.unique(values[(values > 0) & (2 * values <= capacity)])[:64]:
-            big = values > capacity - k
-            mid = (2 * values > capacity) & ~big
-            low = (values >= k) & (2 * values <= capacity)
-            spare = int(mid.sum()) * capacity - int(values[mid].sum())
-            best = max(best, int(big.sum() + mid.sum()) + max(0, -(-(int(values[low].sum()) - spare) // capacity)))
+    if not sizes:
+        return 0
+    values = np.sort(np.array(sizes, dtype=np.int64))
+    sums = np.concatenate([[0], np.cumsum(values)])
+    half = int(np.searchsorted(values, capacity // 2, side="right"))  # items up to half the capacity
+    best = max(-(-int(sums[-1]) // capacity), len(values) - half, 1)
+    # for every least size k: the small items from k on need the room that the middle ones leave
+    k = np.unique(values[:half])
+    k = k[k > 0]
+    if len(k):
+        big = len(values) - np.searchsorted(values, capacity - k, side="right")
+        middle = len(values) - half - big
+        spare = middle * capacity - (sums[len(values) - big] - sums[half])
+        small = sums[half] - sums[np.searchsorted(values, k)]
+        best = max(best, int((len(values) - half + np.maximum(-(-(small - spare) // capacity), 0)).max()))
     return best
 
 
@@ -115,7 +122,7 @@ def fillings(largest: int, others: list[int], capacity: int, most_waste: int, bu
     return sorted(set(found))
 
 
-def complete_bins(sizes: list[int], capacity: int, most_nodes: int = MOST_NODES) -> list[list[int]]:
+def complete_bins(sizes: list[int], capacity: int, most_nodes: int = MOST_NODES, node_steps: int = NODE_STEPS) -> list[list[int]]:
     """Bins of item indexes by branch and bound; ``sizes`` must decrease."""
     bins = best_fit(sizes, capacity)
     bound = lower_bound(sizes, capacity)
@@ -126,7 +133,7 @@ def complete_bins(sizes: list[int], capacity: int, most_nodes: int = MOST_NODES)
     nodes = [most_nodes]
 
     def search(left: list[int], done: list[list[int]], waste: int) -> bool:
-        """Whether the bound was reached. ``left`` increases."""
+        """Whether to stop: the bound is reached, or the budget spent. ``left`` increases."""
         nonlocal best
         if not left:
             if len(done) < len(best):
@@ -147,7 +154,7 @@ def complete_bins(sizes: list[int], capacity: int, most_nodes: int = MOST_NODES)
             return False
         # an eighth of the slack first, so that tight fillings are found among many items
         for limit in dict.fromkeys((min(most, capacity) // 8, min(most, capacity))):
-            for room, taken in fillings(largest, rest, capacity, limit, [600])[:24]:
+            for room, taken in fillings(largest, rest, capacity, limit, [node_steps]):
                 if waste + room > (len(best) - 1) * capacity - total:
                     break
                 after = rest.copy()
@@ -173,7 +180,7 @@ def complete_bins(sizes: list[int], capacity: int, most_nodes: int = MOST_NODES)
     return [[stock[s].pop() for s in b] for b in best]
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None, cell_items: int = CELL_ITEMS, most_nodes: int = MOST_NODES) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None, cell_items: int = CELL_ITEMS, most_nodes: int = MOST_NODES, node_steps: int = NODE_STEPS) -> DataFrame:
     """(bin, slot, doc_id, start, length): every piece of every row, in one bin each.
 
     ``bin`` is unique; pieces of a bin are numbered by ``slot`` and never exceed the capacity
@@ -182,8 +189,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
     length = F.length("text") if length is None else length
     items = docs.select(F.col("doc_id").cast("bigint"), F.greatest(F.coalesce(length.cast("bigint"), F.lit(0)), F.lit(0)).alias("size"))
     cells = max(1, -(-docs.count() // cell_items))
-    placed = items.withColumn("cell", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(cells)))
-    # identical rows fall into one cell, sorted, so that a repeated task packs them alike
+    # a row's number is its place in its partition, so a repeated task gives it the same cell
+    placed = items.withColumn("cell", F.pmod(F.xxhash64(F.lit(29), "doc_id", F.monotonically_increasing_id()), F.lit(cells)))
     # a number of tasks, as cells are work, not bytes: small tables must not end up in one task
     grouped = placed.repartition(-(-cells // CELLS_A_TASK), "cell").sortWithinPartitions("cell", F.desc("size"), "doc_id")
 
@@ -205,7 +212,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
                 start += capacity
             items.append((size - start, doc, start))
         items.sort(key=lambda x: (-x[0], x[1] is not None, x[1] or 0, x[2]))
-        for b in complete_bins([x[0] for x in items], capacity, most_nodes):
+        for b in complete_bins([x[0] for x in items], capacity, most_nodes, node_steps):
             add([(items[i][1], items[i][2], items[i][0]) for i in b])
         columns = list(zip(*out)) or [()] * 5
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
