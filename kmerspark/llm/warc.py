@@ -9,18 +9,21 @@ such files, one a partition.
 
 For a response record the payload is the body after the HTTP header, for any other record
 its whole block. A record without payload has one row, of an empty chunk. A record that the
-file cuts short ends with ``complete`` false; what follows an unreadable header up to the
-next gzip member is left out, as is the rest of a plain file.
+file cuts short, or whose compressed data are damaged, ends with ``complete`` false. Reading
+goes on at the next gzip member, or in a plain file at the next line that begins a record;
+what had to be skipped (damaged data, an unreadable header, or one of over ``HEADER_BYTES``)
+is a row of type ``unreadable`` in its place. Zero bytes between gzip members are padding.
 
 Defined results: null HTML is written as an empty payload, a null URL as an empty one (null
 again when read), a null identifier is null when read. Repeated rows become records of their
-own. An empty table gives no record. Other columns are ignored.
+own, so ties do not matter. An empty table gives no record. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,41 +38,84 @@ from kmerspark.session import checkpointed, shared_dir
 CHUNK_BYTES = 32 << 10
 _READ = 256 << 10
 _FLUSH = 4 << 20
-_HEADER_MOST = 1 << 20
+HEADER_BYTES = 1 << 20
+#: Where a header ends, with the line ends that are met.
+_BLANK = re.compile(rb"\r?\n\r?\n")
+_MEMBER = b"\x1f\x8b\x08"
+UNREADABLE = "unreadable"
 SCHEMA = "record_id string, page_id bigint, url string, record_type string, chunk int, start bigint, length int, payload binary, digest string, last boolean, complete boolean, digest_ok boolean"
 _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 _TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_()]
 
 
 class Stream:
-    """Bytes of a WARC file, decompressed as they are asked for."""
+    """Bytes of a WARC file, decompressed as they are asked for.
+
+    Where compressed data are damaged the stream ends; ``resume`` goes on behind that.
+    """
 
     def __init__(self, source):
-        self.source, self.buffer, self.at, self.done = source, b"", 0, False
+        self.source, self.buffer, self.at, self.done, self.broken = source, b"", 0, False, False
         head = source.read(2)
-        self.inflate = zlib.decompressobj(31) if head == b"\x1f\x8b" else None
+        self.packed = head == b"\x1f\x8b"
+        self.inflate = zlib.decompressobj(31) if self.packed else None
         self.raw = head
 
     def _more(self) -> bool:
-        """Add decompressed bytes to the buffer; false at the end of the file."""
-        while not self.done:
+        """Add decompressed bytes to the buffer; false at the end of the file or of what can be read."""
+        while not self.done and not self.broken:
             raw = self.raw or self.source.read(_READ)
             self.raw = b""
             if not raw:
                 self.done = True
                 return False
-            if self.inflate is None:
+            if not self.packed:
                 fresh = raw
             else:
                 if self.inflate.eof:
+                    raw = raw.lstrip(b"\0")
+                    if not raw:
+                        continue
                     self.inflate = zlib.decompressobj(31)
-                fresh = self.inflate.decompress(raw, _READ)
-                self.raw = self.inflate.unused_data or self.inflate.unconsumed_tail
+                try:
+                    fresh = self.inflate.decompress(raw, _READ)
+                    self.raw = self.inflate.unused_data or self.inflate.unconsumed_tail
+                except zlib.error:
+                    self.broken, self.raw = True, raw[1:]
+                    return False
             if fresh:
                 self.buffer, self.at = self.buffer[self.at :] + fresh, 0
                 return True
         return False
 
+    def _next_member(self) -> bool:
+        """Go to the raw bytes that begin a gzip member; whether there are any."""
+        while True:
+            found = self.raw.find(_MEMBER)
+            if found >= 0:
+                self.raw, self.inflate, self.broken = self.raw[found:], zlib.decompressobj(31), False
+                return True
+            fresh = self.source.read(_READ)
+            if not fresh:
+                self.done, self.raw = True, b""
+                return False
+            self.raw = self.raw[-2:] + fresh
+
+    def resume(self) -> bool:
+        """Skip to where the next record may begin; false at the end of the file."""
+        if self.packed and self.broken:
+            self.buffer, self.at = b"", 0
+            return self._next_member()
+        while True:
+            # a record begins a line; one byte on, so as not to meet the same place again
+            found = self.buffer.find(b"\nWARC/", self.at)
+            if found >= 0:
+                self.at = found + 1
+                return True
+            self.at = max(self.at, len(self.buffer) - 5)
+            if not self._more():
+                return self.broken and self.resume()
+
     def take(self, most: int) -> bytes:
         """Up to ``most`` bytes, none only at the end."""
         if self.at >= len(self.buffer) and not self._more():
@@ -78,25 +124,25 @@ class Stream:
         self.at += len(out)
         return out
 
-    def until(self, mark: bytes, most: int = _HEADER_MOST) -> bytes | None:
-        """The bytes before ``mark``, which is skipped; None if it does not come."""
+    def header(self, most: int = HEADER_BYTES) -> bytes | None:
+        """The bytes before a blank line, which is skipped; None if it does not come."""
         looked = self.at
         while True:
-            found = self.buffer.find(mark, max(self.at, looked))
-            if found >= 0:
-                out, self.at = self.buffer[self.at : found], found + len(mark)
+            found = _BLANK.search(self.buffer, max(self.at, looked))
+            if found and found.start() - self.at <= most:
+                out, self.at = self.buffer[self.at : found.start()], found.end()
                 return out
             if len(self.buffer) - self.at > most:
                 return None
             rest = len(self.buffer) - self.at
             if not self._more():
                 return None
-            looked = max(0, rest - len(mark) + 1)
+            looked = max(0, rest - 3)
 
 
 def header_fields(head: bytes) -> dict[str, str]:
     fields = {}
-    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in head.decode("utf-8", "replace").splitlines()[1:]:
         name, mark, value = line.partition(":")
         if mark:
             fields[name.strip().lower()] = value.strip()
@@ -105,18 +151,25 @@ def header_fields(head: bytes) -> dict[str, str]:
 
 def records(stream: Stream, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
     """Rows of ``SCHEMA`` for every record of a stream."""
+    unreadable = (None, None, None, UNREADABLE, 0, 0, 0, b"", hashlib.sha1().hexdigest(), True, False, None)
     while True:
         byte = stream.take(1)
         while byte in (b"\r", b"\n"):
             byte = stream.take(1)
         if not byte:
-            return
-        head = stream.until(b"\r\n\r\n")
-        if head is None or not (byte + head).startswith(b"WARC/"):
-            return
+            if not stream.broken:
+                return
+            yield unreadable
+            if not stream.resume():
+                return
+            continue
+        head = stream.header()
+        if head is None or not (byte + head).startswith(b"WARC/") or not header_fields(byte + head).get("content-length", "").isdigit():
+            yield unreadable
+            if not stream.resume():
+                return
+            continue
         fields = header_fields(byte + head)
-        if not fields.get("content-length", "").isdigit():
-            return
         left = int(fields["content-length"])
         kind = fields.get("warc-type")
         page = fields.get("warc-page-id", "")
@@ -124,13 +177,15 @@ def records(stream: Stream, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
         pending = b""
         if kind == "response" and fields.get("content-type", "").startswith("application/http"):
             # the HTTP header ends at a blank line; its bytes are not payload
-            while left and b"\r\n\r\n" not in pending and len(pending) < _HEADER_MOST:
+            while left and not _BLANK.search(pending) and len(pending) < HEADER_BYTES:
                 piece = stream.take(min(left, _READ))
                 if not piece:
                     break
                 pending += piece
                 left -= len(piece)
-            pending = pending.partition(b"\r\n\r\n")[2]
+            blank = _BLANK.search(pending)
+            # without a blank line there is no header to leave out
+            pending = pending[blank.end() :] if blank else pending
         digest, number, start, cut = hashlib.sha1(), 0, 0, False
         while True:
             while len(pending) < chunk_bytes and left and not cut:
