@@ -9,15 +9,18 @@ The trie is broadcast while the entries are few enough (``TRIE_ENTRIES``); longe
 joined instead: each URL lists the keys that could match it, at most labels x segments,
 and the best one found in the list wins, with the same result.
 
-A host is lower-cased, without user, port and closing dot; the path ends at ``?`` or ``#``,
-and empty segments are left out. Defined results: a null, empty or unreadable URL (no
+A host is lower-cased, without user, port and closing dot; an IP address (IPv6 in brackets) is
+one label, so an entry holds for it only as a whole. The path ends at ``?`` or ``#``, and empty
+segments are left out. Defined results: a null, empty or unreadable URL (no
 ``scheme://host``) has no host and gets the action ``invalid``. Repeated rows are
-classified alike. An empty list gives every readable URL the default action; null entries
-are ignored. An empty table gives an empty result. Other columns are ignored.
+classified alike. An empty list gives every readable URL the default action; null entries, and
+actions other than ``allow`` and ``block``, are ignored. Urls of any length are read whole. An
+empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -43,11 +46,17 @@ RULES: tuple[tuple[str, str], ...] = (
 )
 
 
+def host_labels(host: str) -> list[str]:
+    """Reversed labels; an IP address is one."""
+    if host.startswith("[") or (host.count(".") == 3 and host.replace(".", "").isdigit()):
+        return [host]
+    return [x for x in host.split(".") if x][::-1]
+
+
 def split_entry(entry: str) -> tuple[list[str], list[str]]:
     """Reversed host labels and path segments of a list entry."""
     host, _, path = entry.strip().partition("/")
-    labels = [x for x in host.lower().strip(".").split(".") if x]
-    return labels[::-1], [x for x in path.split("/") if x]
+    return host_labels(host.lower().strip(".")), [x for x in path.split("/") if x]
 
 
 def split_url(url: str | None) -> tuple[list[str], list[str]] | None:
@@ -60,10 +69,14 @@ def split_url(url: str | None) -> tuple[list[str], list[str]] | None:
     for stop in "?#":
         rest = rest.partition(stop)[0]
     authority, _, path = rest.partition("/")
-    host = authority.rpartition("@")[2].partition(":")[0].lower().strip(".")
+    host = authority.rpartition("@")[2].lower()
+    if host.startswith("["):
+        host = host.partition("]")[0] + "]" if "]" in host else ""
+    else:
+        host = host.partition(":")[0].strip(".")
     if not host:
         return None
-    return [x for x in host.split(".") if x][::-1], [x for x in path.split("/") if x]
+    return host_labels(host), [x for x in path.split("/") if x]
 
 
 class Trie:
@@ -72,7 +85,7 @@ class Trie:
     def __init__(self, rules: Iterable[tuple[str, str]]):
         self.root: list = [{}, {}, None, None]
         for entry, action in rules:
-            if entry is None or action is None:
+            if entry is None or action not in ("allow", "block"):
                 continue
             labels, segments = split_entry(entry)
             if not labels:
@@ -110,11 +123,24 @@ def key_of(labels: list[str], segments: list[str]) -> str:
     return "/".join([".".join(labels[::-1]), *segments])
 
 
+#: The tries that a Python worker has built, by the list they belong to; the last few only.
+_BUILT: dict[str, Trie] = {}
+
+
+def _trie(name: str, rules: list[tuple[str, str]]) -> Trie:
+    """The trie of a broadcast list, built once in each Python worker."""
+    if name not in _BUILT:
+        while len(_BUILT) > 3:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[name] = Trie(rules)
+    return _BUILT[name]
+
+
 def _with_trie(pages: DataFrame, rules: list[tuple[str, str]], default: str) -> DataFrame:
-    shared = pages.sparkSession.sparkContext.broadcast(rules)
+    shared, name = pages.sparkSession.sparkContext.broadcast(rules), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(shared.value)
+        trie = _trie(name, shared.value)
         for batch in batches:
             actions, keys = [], []
             for url in batch.column("url").to_pylist():
@@ -146,7 +172,7 @@ def _with_join(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(key_of(*split_entry(e)), a) for e, a in zip(batch.column("entry").to_pylist(), batch.column("action").to_pylist()) if e is not None and a is not None and split_entry(e)[0]]
+            rows = [(key_of(*split_entry(e)), a) for e, a in zip(batch.column("entry").to_pylist(), batch.column("action").to_pylist()) if e is not None and a in ("allow", "block") and split_entry(e)[0]]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([a for _, a in rows], pa.string())], names=["rule", "found"])
 
     wide = pages.select(F.col("page_id").cast("bigint"), "url").mapInArrow(keys_of, "page_id bigint, url string, valid boolean, keys array<string>")
@@ -176,9 +202,10 @@ def _oracle() -> str:
     return f"""
 WITH rules AS (SELECT host, segs, action, len(string_split(host, '.')) AS labels FROM (VALUES {values}) AS t(host, segs, action)),
 parsed AS (SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1) AS authority, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(/[^?#]*)?', 1) AS path FROM pages),
-hosts AS (SELECT page_id, url, lower(regexp_replace(regexp_replace(authority, '^.*@', ''), ':.*$', '')) AS host, list_filter(string_split(coalesce(path, ''), '/'), lambda s: s <> '') AS segs FROM parsed),
+named AS (SELECT *, lower(regexp_replace(authority, '^.*@', '')) AS name FROM parsed),
+hosts AS (SELECT page_id, url, CASE WHEN starts_with(name, '[') THEN regexp_extract(name, '^\\[[^\\]]*\\]') ELSE regexp_replace(regexp_replace(name, ':.*$', ''), '^[.]+|[.]+$', '', 'g') END AS host, list_filter(string_split(coalesce(path, ''), '/'), lambda s: s <> '') AS segs FROM named),
 hits AS (SELECT p.page_id, p.url, r.action, array_to_string(list_concat([r.host], r.segs), '/') AS rule, row_number() OVER (PARTITION BY p.page_id, p.url ORDER BY r.labels DESC, len(r.segs) DESC, r.action DESC) AS n
- FROM hosts p JOIN rules r ON (p.host = r.host OR suffix(p.host, '.' || r.host)) AND list_slice(p.segs, 1, len(r.segs)) = r.segs)
+ FROM hosts p JOIN rules r ON (p.host = r.host OR suffix(p.host, '.' || r.host) AND NOT regexp_matches(p.host, '^\\[|^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$')) AND list_slice(p.segs, 1, len(r.segs)) = r.segs)
 SELECT h.page_id, h.url, CASE WHEN h.host = '' OR h.host IS NULL THEN 'invalid' ELSE coalesce(x.action, '{DEFAULT_ACTION}') END AS action, x.rule
 FROM hosts h LEFT JOIN (SELECT * FROM hits WHERE n = 1) x ON h.page_id = x.page_id AND h.url = x.url
 """
