@@ -19,13 +19,21 @@ format (an IPv4 part over 255, a card whose checksum fails, a reserved given nam
 permutation is walked until it is in the format again, which keeps it one-to-one.
 
 ``collisions`` counts what the scheme rules out - two entities with one surrogate, two
-surrogates of one entity - over all entities of a corpus; ``entities`` lists them.
-Inside a document, a surrogate that equals another entity of that document is walked on; the
-entity whose own surrogate it is then differs, as the check is repeated until all differ.
-
-Defined results: null text stays null, empty text empty. Overlapping matches go to the type
-first in ``TYPES``, then to the longer one. Names differing only in case share a surrogate
-up to case. Repeated rows change alike. Other columns are passed through.
+surrogates of one entity - over all entities of a corpus; ``entities`` lists them. A
+permutation keeps the entities of one type apart. Inside a document it is also checked that
+no two entities of different types have one surrogate; the later one is walked on then, in
+that document alone, which is the only exception to coreference.
+
+Names are found after a title (in any script with capitals, or Chinese characters), or as a
+known given name with a family name behind it; a name of unknown words without a title is not
+found. The case of a hexadecimal secret counts, that of an IPv6 address does not. An IBAN whose
+check digits are right gets a surrogate whose check digits are right.
+
+Defined results: null text stays null, empty text empty, and a text of any length is read
+whole. Overlapping matches go to the type first in ``TYPES``, then to the longer one. Names
+differing only in case share a surrogate up to case. Repeated rows change alike, each on its
+own, so ties do not matter. An empty table stays empty. Other columns are passed through; where
+one has the name asked for the count, the count's name gets underscores.
 """
 
 from __future__ import annotations
@@ -41,12 +49,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kmerspark.operators.prefix import fresh_name
+
 DEFAULT_KEY = b"surrogate-key-v1"
 TYPES = ("private_key", "secret", "email", "iban", "card", "ssn", "phone", "ipv6", "ipv4", "number", "person")
 
 _GIVEN = {
-    ("f", "latin"): "Anna Maria Elena Sofia Laura Julia Clara Emma Alice Marie Camille Claire Louise Chloe Sarah Emily Mary Jane Susan Linda Karen Nancy Lisa Margaret Carmen Isabel Lucia Pilar Teresa Ingrid Heidi Ursula Petra Greta Hannah Lena".split(),
-    ("m", "latin"): "John Peter Paul Thomas Michael David James Robert William Richard Charles Joseph Daniel Mark George Jean Pierre Jacques Louis Antoine Carlos Juan Luis Miguel Pedro Javier Diego Hans Karl Klaus Jürgen Stefan Wolfgang Dieter Otto Fritz".split(),
+    ("f", "latin"): "Anna Maria Elena Sofia Laura Julia Clara Emma Alice Marie Camille Claire Louise Chloe Sarah Emily Mary Jane Susan Linda Karen Nancy Lisa Margaret Carmen Isabel Lucia Pilar Teresa Ingrid Heidi Ursula Petra Greta Hannah Lena Priya Aisha Fatima Yuki Leila".split(),
+    ("m", "latin"): "John Peter Paul Thomas Michael David James Robert William Richard Charles Joseph Daniel Mark George Jean Pierre Jacques Louis Antoine Carlos Juan Luis Miguel Pedro Javier Diego Hans Karl Klaus Jürgen Stefan Wolfgang Dieter Otto Fritz Rahul Ahmed Mohammed Hiroshi Omar".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Татьяна Наталья Ирина Светлана Екатерина Юлия".split(),
     ("m", "cyrillic"): "Иван Пётр Алексей Дмитрий Сергей Андрей Николай Михаил Владимир Павел".split(),
     ("f", "greek"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Δήμητρα".split(),
@@ -55,7 +65,15 @@ _GIVEN = {
 _KNOWN = {name: group for group, names in _GIVEN.items() for name in names}
 _TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra|Don|Doña|г-н|г-жа|κ)"
 _NAME_REST = r"[\w'’\-]*[^\W\d_]"
-_CAPITAL = "[A-ZÀ-ÞА-ЯΑ-Ω]"
+def _ranges(good) -> str:
+    """The characters below U+2000 that are good, as the inside of a bracket expression."""
+    codes = [c for c in range(0x41, 0x2000) if good(chr(c))]
+    starts = [c for c in codes if c - 1 not in codes]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, (c for c in codes if c + 1 not in codes)))
+
+
+_CAPITAL = f"[{_ranges(str.isupper)}]"
+_HAN = "[\u4e00-\u9fff]"
 
 _PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
@@ -73,7 +91,7 @@ _PATTERNS = {
     "ipv6": r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:|:(?::[0-9A-Fa-f]{1,4}){2,7})(?![\w:]|\.[0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
     "number": r"(?<![\w.])[0-9]{8,19}(?![\w])",
-    "person": rf"\b{_TITLES}\.?[ ](?P<p1>{_CAPITAL}{_NAME_REST}(?:[ ]{_CAPITAL}{_NAME_REST}){{0,2}})|\b(?P<p2>(?:{'|'.join(_KNOWN)})[ ]{_CAPITAL}{_NAME_REST})\b",
+    "person": rf"\b{_TITLES}\.?[ ](?P<p1>{_CAPITAL}{_NAME_REST}(?:[ ]{_CAPITAL}{_NAME_REST}){{0,2}}|{_HAN}{{2,4}}(?!{_HAN}))|\b(?P<p2>(?:{'|'.join(_KNOWN)})[ ]{_CAPITAL}{_NAME_REST})\b",
 }
 _COMPILED = {kind: re.compile(_PATTERNS[kind]) for kind in TYPES}
 #: What a text must contain for the patterns of each type to be tried at all.
@@ -96,6 +114,9 @@ _COLUMN_NEEDS = r"[0-9]{8}|[0-9a-fA-F]{32}|@|PRIVATE KEY|[0-9][ .:\-][0-9(]|[0-9
 _COLUMN_NAMES = rf"(?:^|[^\pL\pN_])(?:{_WORDS})(?:[^\pL\pN_]|$)"
 
 _CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâãäåæèéêëìíîïòóôõöøùúûü", "çðñþß", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜ", "ÇÐÑÞ", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЫЭЮЯЁ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"]
+# further Latin letters by case, and Chinese characters
+_CLASSES += ["".join(chr(c) for c in range(0x100, 0x180) if chr(c).islower()), "".join(chr(c) for c in range(0x100, 0x180) if chr(c).isupper()), "".join(map(chr, range(0x4E00, 0xA000)))]
+_MIXED = dict.fromkeys("0123456789abcdefABCDEF", "0123456789abcdefABCDEF")
 _LOWER, _UPPER = (dict.fromkeys(a, a) for a in ("0123456789abcdef", "0123456789ABCDEF"))
 _CLASS = {c: alphabet for alphabet in _CLASSES for c in alphabet}
 
@@ -108,6 +129,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_check(text: str) -> str:
+    """The check digits that an account number needs (98 less the rest modulo 97)."""
+    plain = text.replace(" ", "")
+    return f"{98 - int(''.join(str(int(c, 36)) for c in plain[4:] + plain[:2] + '00')) % 97:02d}"
+
+
 def _is_ipv6(text: str) -> bool:
     """Whether a match of the pattern is an address: names in code are joined by ``::`` too."""
     groups = [g for g in text.split(":") if g]
@@ -199,6 +226,8 @@ class Surrogates:
                 return all(int(p) < 256 and (len(p) == 1 or p[0] != "0") for p in v.split("."))
             return self._walk(text, kind, good) if good(text) else self.permute(text, kind)
         if kind == "ipv6":
+            if text.upper() != text and text.lower() != text:
+                text = text.lower()  # mixed case names the same address
             out = self._hex(text, kind)
             while _is_ipv6(text) and not _is_ipv6(out):
                 out = self._hex(out, kind)
@@ -211,7 +240,12 @@ class Surrogates:
                 return _COMPILED[kind].fullmatch(v) is not None
             return self._walk(text, kind, is_phone) if is_phone(text) else self.permute(text, kind)
         if kind == "iban":
-            return text[:2] + self.permute(text[2:], kind)
+            def good(v: str) -> bool:
+                return iban_check(v) == v[2:4]
+            if good(text):
+                new = text[:4] + self.permute(text[4:], kind)
+                return new[:2] + iban_check(new) + new[4:]
+            return text[:2] + self._walk(text[2:], kind, lambda v: not good(text[:2] + v))
         if kind in ("secret", "private_key"):
             head = re.match(r"(?:AKIA|ASIA|AIza|ghp_|gho_|sk-|xox[abp]-)", text)
             keep = head.end() if head else 0
@@ -227,11 +261,11 @@ class Surrogates:
         return self.permute(text, kind)
 
     def _hex(self, text: str, tweak: str) -> str:
-        """Hexadecimal strings, all of one case; one with a capital keeps a capital."""
-        if text.upper() != text and text.lower() != text:
-            text = text.lower()  # mixed case names the same value
+        """Hexadecimal strings: of small letters, of capitals, or of both, as the text is."""
         if text.lower() == text:
             return self.permute(text, tweak, _LOWER)
+        if text.upper() != text:
+            return self._walk(text, tweak, lambda v: v.lower() != v and v.upper() != v, _MIXED)
         return self._walk(text, tweak, lambda v: v.lower() != v, _UPPER)
 
     def _long(self, text: str) -> str:
@@ -287,22 +321,21 @@ def scrub(text: str | None, surrogates: Surrogates) -> tuple[str | None, int]:
     found = find_entities(text)
     if not found:
         return text, 0
-    real = {(kind, text[a:b]) for a, b, kind in found}
-    names = {value for _, value in real}
     chosen: dict[tuple[str, str], str] = {}
-    if len(real) > 1:
-        # collision check: no surrogate of this text may be another of its entities
-        for kind, value in sorted(real):
-            new = surrogates.surrogate(kind, value)
-            while new in names or new in chosen.values():
-                new = surrogates.surrogate(kind, new)
-                if new == value:
-                    break
-            chosen[kind, value] = new
+    used: dict[str, str] = {}
+    for kind, value in sorted({(kind, text[a:b]) for a, b, kind in found}):
+        new = first = surrogates.surrogate(kind, value)
+        # one type is one permutation, so only types that write alike can meet
+        while used.get(new, kind) != kind:
+            new = surrogates.surrogate(kind, new)
+            if new == first:
+                break  # the whole format is taken
+        chosen[kind, value] = new
+        used.setdefault(new, kind)
     out, at = [], 0
     for a, b, kind in found:
         value = text[a:b]
-        out += [text[at:a], chosen.get((kind, value)) or surrogates.surrogate(kind, value)]
+        out += [text[at:a], chosen[kind, value]]
         at = b
     return "".join([*out, text[at:]]), len(found)
 
@@ -314,6 +347,8 @@ def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY, count: str | None = N
     ``n_chars`` is a column, it is kept in step with the text.
     """
     fields = docs.schema.fields
+    if count:
+        count = fresh_name(docs.columns, count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surrogates = Surrogates(key)
