@@ -14,7 +14,8 @@ language, chosen by a hash of the identifier); every text is scored, whole.
 Defined results: a null or empty text, or one without a letter, has no language (``und``)
 and is rejected, as is every text where no row carries a label. A null identifier is kept as
 null. Repeated rows are scored alike. Equal cosines go to the language first in the
-alphabet. An empty table gives an empty result.
+alphabet. Texts of any length are scored whole. An empty table gives an empty result.
+``identify`` ignores other columns, ``keep_identified`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ BINS = 25
 #: Pieces that a bin of a language must have for a bound of its own, and those looked at.
 LEAST_PIECES, MOST_PIECES = 20, 200
 UNKNOWN = "und"
+#: Texts whose dense count vectors are held at once (8 MB).
+SLICE_ROWS = 512
 _LETTER = np.full(256, 32, dtype=np.uint8)
 _LETTER[np.arange(128, 256)] = np.arange(128, 256)
 _LETTER[np.arange(97, 123)] = np.arange(97, 123)
@@ -234,7 +237,7 @@ def fit(docs: DataFrame, fit_rows: int = 300, centroids: int = 3) -> Model:
 
 def _score_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = string_buffers(pc.utf8_lower(texts))
-    parts = [model.score(*count_vectors(data, offsets[a : b + 1])) for a, b in slices(offsets, 1 << 18)]
+    parts = [model.score(*count_vectors(data, offsets[a : b + 1])) for a, b in slices(offsets, 1 << 18, SLICE_ROWS)]
     if not parts:
         return np.zeros(0, int), np.zeros(0), np.zeros(0, bool)
     return tuple(np.concatenate(p) for p in zip(*parts))

@@ -12,7 +12,9 @@ text, raised for long n-grams so that a text with a quoted line or two is left a
 
 Defined results: a null or empty text, or one of white space, has shares of 0 and is kept
 (emptiness is not repetition). Texts shorter than n words have a share of 0 at n. Repeated
-rows are judged alike; a null identifier stays null; an empty table gives an empty result.
+rows are judged alike, and each on its own, so ties do not matter; a null identifier stays
+null; texts of any length are read whole; an empty table gives an empty result. Other columns
+are ignored.
 """
 
 from __future__ import annotations

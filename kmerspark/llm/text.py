@@ -42,12 +42,12 @@ def string_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` bytes each; one longer text is a range of its own."""
+def slices(offsets: np.ndarray, most: int = 1 << 20, most_rows: int = 1 << 62) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes and at most ``most_rows`` rows; one longer text is a range of its own."""
     start, n = 0, len(offsets) - 1
     while start < n:
         stop = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1
-        stop = min(max(stop, start + 1), n)
+        stop = min(max(stop, start + 1), start + most_rows, n)
         yield start, stop
         start = stop
 
