@@ -71,6 +71,70 @@ def test_shards_equal_a_plain_running_sum(spark, range_rows):
     assert sharding.assign(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 3, 3, *range(8)]), "x" * rng.randint(0, 30), 1, 2, i) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, shard int, low int, start_byte int")
+    name = sharding.write_shards(table, f"{tmp_path}/s", 7, 10)
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert name == "shard_" and sorted(map(tuple, back.select(*table.columns).collect()), key=str) == sorted(rows, key=str)
+    numbers = sorted((r.start_byte, r.shard) for r in sharding.assign(table, 7, 10).collect())
+    assert Counter(r[name] for r in back.collect()) == Counter(s for _, s in numbers)
+    sharding.write_shards(table.limit(0), f"{tmp_path}/none", 7)
+
+
+def brute_copies(spark, rows, alpha, seed=17):
+    """Sequential pivotal rounding: lists instead of arrays, one pair at a time."""
+    from kmerspark.llm.text import mix
+
+    one, m64 = mixing.ONE, (1 << 64) - 1
+    m = lambda v: int(mix(np.array([v & m64], dtype=np.uint64))[0])
+    table = docs(spark, rows)
+    epochs = {r.source: r.epochs for r in mixing.epochs_by_source(table, None, alpha).collect()}
+    units = table.select("doc_id", "source").distinct().select("doc_id", "source", F.xxhash64("doc_id", "source", F.lit(seed)).alias("tie"))
+    units = units.withColumn("h", F.xxhash64("tie")).withColumn("last", F.pmod(F.xxhash64("tie", F.lit(seed + 1)), F.lit(one))).collect()
+    base = {(u.doc_id, u.source): int(epochs[u.source] // 1) for u in units}
+    mass = {(u.doc_id, u.source): round((epochs[u.source] - epochs[u.source] // 1) * one) for u in units}
+    bucket = max(1, -(-len(rows) // mixing.BUCKET_ROWS))
+    place, level = {(u.doc_id, u.source): u.h % bucket for u in units}, 0
+    while True:
+        for group in {(place[u.doc_id, u.source], u.source) for u in units}:
+            live = sorted((u for u in units if (place[u.doc_id, u.source], u.source) == group and 0 < mass[u.doc_id, u.source] < one), key=lambda u: u.tie)
+            turn = 0
+            while len(live) > 1:
+                for a, b in zip(live[0::2], live[1::2]):
+                    x, y = (a.doc_id, a.source), (b.doc_id, b.source)
+                    u = (m(m(a.tie + seed + 1000 * level) ^ m(b.tie + turn + 1)) >> 11) / (1 << 53)
+                    total = mass[x] + mass[y]
+                    chance = mass[x] / total if total < one else (one - mass[y]) / max(2 * one - total, 1)
+                    mass[x] = min(total, one) if u < chance else max(total - one, 0)
+                    mass[y] = total - mass[x]
+                live, turn = [u for u in live if 0 < mass[u.doc_id, u.source] < one], turn + 1
+        if bucket == 1:
+            break
+        bucket, level = -(-bucket // mixing.FAN_IN), level + 1
+        place = {k: v % bucket for k, v in place.items()}
+    for u in units:
+        if 0 < mass[u.doc_id, u.source] < one:
+            mass[u.doc_id, u.source] = one if u.last < mass[u.doc_id, u.source] else 0
+    return {k: base[k] + (mass[k] >= one) for k in base}
+
+
+@pytest.mark.parametrize("bucket,broadcast", [(9, 10**6), (50_000, 0)])
+def test_copies_equal_brute_force(spark, monkeypatch, bucket, broadcast):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_UNITS", broadcast)
+    rng = random.Random(5)
+    rows = [(rng.choice([None, i]) if i % 9 == 0 else i, "t", rng.choice(["a", "a", "b", None]), rng.randint(0, 40)) for i in range(70)]
+    rows += rows[:6]
+    want = brute_copies(spark, rows, 0.4)
+    assert {(r.doc_id, r.source): r.copies for r in mixing.copies(docs(spark, rows), alpha=0.4).collect()} == want
+    mixed = Counter((r.doc_id, r.source) for r in mixing.mix_documents(docs(spark, rows), alpha=0.4).collect())
+    rows_of = Counter((d, s) for d, _, s, _ in rows)
+    assert mixed == Counter({k: n * want[k] for k, n in rows_of.items() if want[k]})
+
+
 def fewest(sizes, capacity):
     best = [len(sizes)]
 
@@ -102,8 +166,31 @@ def test_bins_are_as_few_as_brute_force_finds():
 
 
 def test_bin_completion_beats_best_fit():
-    sizes = sorted([51, 28, 28, 27, 25, 12, 12, 10, 10, 8, 6] * 2, reverse=True)
-    assert len(packing.complete_bins(sizes, 100)) <= len(packing.best_fit(sizes, 100))
+    rng, won = random.Random(6), 0
+    for _ in range(60):
+        sizes = sorted((rng.randint(15, 60) for _ in range(24)), reverse=True)
+        best, bins = packing.best_fit(sizes, 100), packing.complete_bins(sizes, 100)
+        assert packing.lower_bound(sizes, 100) <= len(bins) <= len(best)
+        won += len(bins) < len(best)
+    assert won > 0
+
+
+def test_lower_bound_looks_at_every_size():
+    rng = random.Random(7)
+    for _ in range(200):
+        sizes = sorted((rng.randint(0, 100) for _ in range(rng.randint(0, 150))), reverse=True)
+        want = max(-(-sum(sizes) // 100), sum(2 * s > 100 for s in sizes), 1 if sizes else 0)
+        for k in {s for s in sizes if 0 < 2 * s <= 100}:
+            middle = [s for s in sizes if 2 * s > 100 and s <= 100 - k]
+            rest = sum(s for s in sizes if k <= s and 2 * s <= 100) - (len(middle) * 100 - sum(middle))
+            want = max(want, sum(2 * s > 100 for s in sizes) + max(0, -(-rest // 100)))
+        assert packing.lower_bound(sizes, 100) == want
+
+
+def test_one_identifier_does_not_fill_one_cell(spark):
+    same = docs(spark, [(i if i % 3 else None, "x" * 10, "s", 1) for i in range(900)])
+    cells = Counter(r.bin >> 32 for r in packing.pack(same, 100, cell_items=50).collect())
+    assert max(cells.values()) < 150
 
 
 def test_every_piece_is_packed_once(spark):

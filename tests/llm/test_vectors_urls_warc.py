@@ -14,31 +14,90 @@ def vectors(spark, rows):
     return spark.createDataFrame([(i, None if v is None else [float(x) for x in v], 0, "b") for i, v in rows], VEC)
 
 
-def recall(got, x, k):
+def recall(got, x, k, every=1):
     sims = x @ x.T
     np.fill_diagonal(sims, -9)
     true = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     found = {}
     for r in got:
         found.setdefault(r.vec_id, set()).add(r.neighbor_id)
-    return sum(len(found.get(i, set()) & set(t.tolist())) for i, t in enumerate(true)) / true.size
+    asked = range(0, len(x), every)
+    return sum(len(found.get(i, set()) & set(true[i].tolist())) for i in asked) / (k * len(asked))
 
 
-@pytest.mark.parametrize("rotations", [1, 2])
-def test_recall_against_brute_force(spark, rotations):
-    x = np.random.default_rng(0).normal(size=(1500, 64)).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    got = ann.nearest(vectors(spark, list(enumerate(x))), 10, rotations=rotations).collect()
-    assert recall(got, x, 10) >= 0.9
+def unit(x):
+    return (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+
+
+@pytest.mark.parametrize("close,every", [(False, 20), (False, 1), (True, 20)])
+def test_recall_against_brute_force(spark, close, every):
+    rng = np.random.default_rng(0)
+    x = unit(rng.normal(size=(3000, 64)))
+    if close:
+        x = unit(x[:150].repeat(20, axis=0) + 0.05 * rng.normal(size=(3000, 64)))
+    got = ann.nearest(vectors(spark, list(enumerate(x))), 10, every=every, shard_rows=500).collect()
+    assert recall(got, x, 10, every) >= 0.9
+    assert {r.vec_id for r in got} == set(range(0, 3000, every)) and max(r["rank"] for r in got) == 10
     assert all(abs(r.cosine - float(x[r.vec_id] @ x[r.neighbor_id])) < 1e-4 for r in got[:500])
 
 
+def test_close_neighbours_take_few_probes():
+    rng = np.random.default_rng(1)
+    near = unit(rng.normal(size=(200, 1, 64)).reshape(200, 64))
+    pairs = np.stack([near, unit(near + 0.04 * rng.normal(size=(200, 64)))], axis=1)
+    far = np.stack([near, unit(0.45 * near + 0.11 * rng.normal(size=(200, 64)))], axis=1)
+    for rows in (10**5, 10**9):
+        rotations, probes = ann.fit_probes(pairs, rows, 64, 8)
+        assert rotations > 1 and 8 * probes * rows / 128**rotations < rows / 100
+    assert ann.fit_probes(far, 10**6, 64, 8)[0] == 1
+    assert ann.fit_probes(pairs[:0], 10, 64, 8)[1] == 1
+
+
+def test_probes_are_the_nearest_buckets():
+    x = unit(np.random.default_rng(2).normal(size=(20, 8)))
+    y = [np.concatenate([r, -r], axis=1) for r in (ann.rotate(x, 1_000_003 * 3 + i) for i in range(2))]
+    cost = ((y[0].max(1)[:, None] - y[0]) ** 2)[:, :, None] + ((y[1].max(1)[:, None] - y[1]) ** 2)[:, None, :]
+    want = np.sort(cost.reshape(20, -1), axis=1)[:, :30]
+    got = ann.probe_buckets(x, 3, 2, 30)
+    assert np.allclose(np.take_along_axis(cost.reshape(20, -1), got, 1), want, atol=1e-6)
+
+
+def exact(rows, k, every):
+    """Brute force over rows with repeated identifiers and vectors."""
+    out = set()
+    ids = np.array([i for i, _ in rows])
+    x = unit(np.array([v for _, v in rows]))
+    for q in sorted({i for i in ids.tolist() if i % every == 0}):
+        best = {}
+        for row in np.flatnonzero(ids == q):
+            for other, cosine in zip(ids.tolist(), np.round(x @ x[row], 5).tolist()):
+                if other != q:
+                    best[other] = max(best.get(other, -9), cosine)
+        out |= {(q, n + 1, other) for n, (other, _) in enumerate(sorted(best.items(), key=lambda e: (-e[1], e[0]))[:k])}
+    return out
+
+
+@pytest.mark.parametrize("hot_rows", [ann.HOT_ROWS, 20])
+def test_copies_repeats_and_hot_buckets_lose_nothing(spark, hot_rows):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(6, 8))
+    rows = [(i, centre[i % 6] + 0.3 * rng.normal(size=8)) for i in range(150)]
+    rows += [(200 + i, rows[5][1]) for i in range(60)]  # a third are copies of one vector
+    rows += [(7, rng.normal(size=8)) for _ in range(15)]  # one identifier on many vectors
+    rows += rows[:20]
+    got = {(r.vec_id, r["rank"], r.neighbor_id) for r in ann.nearest(vectors(spark, rows), 5, every=5, rotations=1, probes=16, hot_rows=hot_rows).collect()}
+    want = exact(rows, 5, 5)
+    # rounding may swap neighbours at one distance, nothing else
+    assert len(got) == len(want) and len({(q, o) for q, _, o in got} & {(q, o) for q, _, o in want}) >= 0.99 * len(want)
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1, 0, 0]), (2, [1, 0.1, 0]), (3, [0, 0, 0]), (4, None), (None, [1, 0, 0]), (5, [1, 2]), (6, [float("nan"), 0, 1]), (1, [1, 0, 0]), (7, [1, 0, 0])]
-    got = sorted((r.vec_id, r["rank"], r.neighbor_id) for r in ann.nearest(vectors(spark, rows), 2).collect())
-    assert {g[0] for g in got} == {1, 2, 7} and (1, 1, 7) in got and (2, 1, 1) in got and (2, 2, 7) in got
-    assert all(a != b for a, _, b in got)
+    got = sorted((r.vec_id, r["rank"], r.neighbor_id) for r in ann.nearest(vectors(spark, rows), 2, every=1).collect())
+    assert got == [(1, 1, 7), (1, 2, 2), (2, 1, 1), (2, 2, 7), (7, 1, 1), (7, 2, 2)]
     assert ann.nearest(vectors(spark, rows).limit(0)).count() == 0
+    assert ann.nearest(vectors(spark, rows)).count() == 0 and ann.nearest(vectors(spark, rows), every=7).count() == 2
+    assert ann.nearest(vectors(spark, [(1, [1, 0])]), every=1).count() == 0
 
 
 def test_hadamard_is_orthonormal():
@@ -46,11 +105,12 @@ def test_hadamard_is_orthonormal():
     assert np.allclose(h @ h.T, np.eye(16), atol=1e-5)
 
 
-RULES = [("example.com", "block"), ("good.example.com", "allow"), ("example.com/ok", "allow"), ("good.example.com/bad/x", "block"), ("both.org", "allow"), ("both.org", "block"), (None, "block"), ("", "block")]
+RULES = [("example.com", "block"), ("good.example.com", "allow"), ("example.com/ok", "allow"), ("good.example.com/bad/x", "block"), ("both.org", "allow"), ("both.org", "block"), (None, "block"), ("", "block"), ("[2001:db8::1]", "block"), ("3.4", "block"), ("1.2.3.5", "block"), ("x.com", "unknown"), ("x.com", None)]
 URLS = {
     "http://example.com/": "block", "https://www.EXAMPLE.com:80/a?b": "block", "http://example.com/ok/deep#x": "allow", "http://example.com/okay": "block",
     "http://a.good.example.com/": "allow", "http://good.example.com/bad/x/y": "block", "http://good.example.com/bad": "allow", "http://u:p@both.org./": "block",
     "http://notexample.com/": "allow", "nonsense": "invalid", "": "invalid", None: "invalid", "http://": "invalid", "http://x.com/" + "a/" * 3000: "allow",
+    "http://[2001:db8::1]:80/x": "block", "http://[2001:db8::2]/": "allow", "http://[2001": "invalid", "http://1.2.3.4/": "allow", "http://u@1.2.3.5:8080/": "block",
 }
 
 
@@ -93,11 +153,39 @@ def test_cut_and_broken_files():
     assert [r[1] for r in stream(gzip.compress(whole)) if r[9]] == [1, 2]
     cut = stream(whole[: whole.index(b"cdef")])
     assert cut[-1][9] and cut[-1][10] is False and cut[-1][11] is False
-    assert stream(b"") == [] and stream(b"no warc here\r\n\r\n") == []
+    assert stream(b"") == []
     wrong = whole.replace(b"xyz", b"xyw")
     assert [r[11] for r in stream(wrong) if r[9]] == [True, False]
 
 
+def test_reading_goes_on_behind_damage():
+    parts = [b"".join(warc.encode_record(i, "u", f"{i}" * 40, "s")) for i in (1, 2, 3)]
+    packed = [gzip.compress(p) for p in parts]
+    pages = lambda data: [(r[1], r[10]) for r in stream(data) if r[9]]
+    assert pages(packed[0] + bytes(100) + packed[1] + bytes(7)) == [(1, True), (2, True)]
+    for at in range(12, len(packed[1]) - 1, 9):
+        hurt = bytearray(packed[1])
+        hurt[at] ^= 0xFF
+        got = pages(packed[0] + bytes(hurt) + packed[2])
+        assert got[0] == (1, True) and got[-1] == (3, True), at
+    bad = parts[1].replace(b"Content-Length: ", b"Content-Length: x")
+    assert pages(parts[0] + bad + parts[2]) == [(1, True), (None, False), (3, True)]
+    assert pages(packed[0] + gzip.compress(bad) + packed[2]) == [(1, True), (None, False), (3, True)]
+    huge = parts[1].replace(b"WARC-Date", b"X: " + b"y" * (warc.HEADER_BYTES + 10) + b"\r\nWARC-Date")
+    assert pages(parts[0] + huge + parts[2]) == [(1, True), (None, False), (3, True)]
+    assert stream(b"no warc here\r\n\r\n")[0][3] == warc.UNREADABLE
+
+
+def test_bare_line_feeds():
+    whole = b"".join(warc.encode_record(1, "u", "body\r\n\r\nmore", "s")) + b"".join(warc.encode_record(2, "u", "x", "s"))
+    head, _, rest = whole.partition(b"\r\n\r\nHTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
+    http = b"HTTP/1.1 200 OK\nContent-Type: text/html; charset=utf-8\n\n"
+    head = head.replace(b"\r\n", b"\n").rpartition(b"Content-Length: ")[0] + b"Content-Length: %d\nWARC-Page-Id: 1" % (len(http) + 12)
+    bare = head + b"\n\n" + http + rest
+    got = [(r[1], b"".join(x[7] for x in stream(bare) if x[1] == r[1]), r[10], r[11]) for r in stream(bare) if r[9]]
+    assert got == [(1, b"body\r\n\r\nmore", True, True), (2, b"x", True, True)]
+
+
 def test_a_payload_is_never_held_whole():
     class Endless(io.RawIOBase):
         def __init__(self):
