@@ -118,8 +118,12 @@ def partial_counts(reads: DataFrame, k: int = DEFAULT_K, keys: tuple[str, ...] =
                 groups: list[tuple[list, np.ndarray]] = [([], values)]
                 if keys:
                     table = pa.Table.from_batches([part.select(list(keys))])
-                    code = np.unique(np.array([hash(t) for t in zip(*(table[c].to_pylist() for c in keys))]), return_index=True, return_inverse=True)
-                    groups = [([table[c][int(code[1][g])].as_py() for c in keys], values[code[2][row] == g]) for g in range(len(code[0]))]
+                    codes = [part.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in keys]
+                    _, first, own_group = np.unique(np.stack(codes), axis=1, return_index=True, return_inverse=True)
+                    group = own_group.ravel()[row]
+                    order = np.argsort(group, kind="stable")
+                    cuts = np.searchsorted(group[order], np.arange(len(first) + 1))
+                    groups = [([table[c][int(f)].as_py() for c in keys], values[order[a:b]]) for f, a, b in zip(first, cuts, cuts[1:])]
                 for own, found in groups:
                     kmer, n = np.unique(found, return_counts=True)
                     yield pa.RecordBatch.from_arrays([*(pa.array([v] * len(kmer), table.schema.field(c).type) for c, v in zip(keys, own)), pa.array(kmer), pa.array(n)], names=[*keys, "kmer", "n"])

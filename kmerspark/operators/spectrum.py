@@ -54,7 +54,8 @@ def genome_size(histo: DataFrame, threshold: int = 1000, bins: int = VIEW_BINS,
     valleys = extrema(histo, threshold, valleys=True, bins=bins, legacy=legacy)
     counts = peaks.groupBy("chunk").agg(F.count("*").alias("p")).join(valleys.groupBy("chunk").agg(F.count("*").alias("v"), F.min("coverage").alias("valley")), "chunk").where("p = v")
     shift = 1 if legacy else 0
-    total = histo.join(counts.select("chunk", "valley"), "chunk").groupBy("chunk", "valley").agg(F.sum(F.col("count") * F.col("n_kmers")).alias("all"), F.sum(F.when(F.col("count") - shift <= F.col("valley"), F.col("count") * F.col("n_kmers")).otherwise(0)).alias("errors"))
+    # counts past the bins shown, and the bin of all larger ones, take no part
+    total = histo.where(F.col("count") <= bins).join(counts.select("chunk", "valley"), "chunk").groupBy("chunk", "valley").agg(F.sum(F.col("count") * F.col("n_kmers")).alias("all"), F.sum(F.when(F.col("count") - shift <= F.col("valley"), F.col("count") * F.col("n_kmers")).otherwise(0)).alias("errors"))
     sized = peaks.where("idx < 2").join(total, "chunk")
     size = (F.col("all") - F.col("errors")) / F.col("coverage") / F.when(F.col("idx") == 0, 2).otherwise(1)
     return sized.select("chunk", F.col("idx").alias("peak"), "coverage", "valley", F.round(size, 6).alias("size"))

@@ -9,7 +9,7 @@ from kmerspark.functions import sequences as sq
 from kmerspark.operators import counting, histogram, kmers, spectrum
 from kmerspark.sources import synthetic as syn
 
-K, CHUNKS, BATCH, MOST = 19, 4, 100, 100
+K, CHUNKS, BATCH, MOST = 19, 4, 100, histogram.MAX_COUNT
 
 SQL_DNA = "translate(hex(text), '0123456789ABCDEF', 'ACGTACGTACGNACGT')"
 SQL_OFFS = f"""dna AS (SELECT doc_id, source, {SQL_DNA} AS dna FROM documents),
@@ -20,6 +20,9 @@ SQL_PLAIN = f"""{SQL_OFFS},
 reads AS (SELECT doc_id, o, source, substr(dna, o + 1, 150) AS seq FROM offs)"""
 
 
+SQL_WINDOWS = f"t AS (SELECT item_id, p - 1 AS pos, substr(dna, p, {K}) AS seq FROM (SELECT item_id, dna, unnest(range(1, length(dna) - {K - 2})) AS p FROM (SELECT item_id, {SQL_DNA} AS dna FROM benchmark) WHERE length(dna) >= 36) WHERE instr(substr(dna, p, {K}), 'N') = 0)"
+
+
 def sql_kmers(extra: str = "") -> str:
     """km: canonical k-mer strings of all reads, with more columns of the reads."""
     cols = f"{extra}, " if extra else ""
@@ -87,15 +90,20 @@ def kmer_extract(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("kmer").alias("n_distinct"), sq.decode(F.min("kmer"), K).alias("least"), sq.decode(F.max("kmer"), K).alias("greatest"))
 
 
+def _windows(spark, sf_dir) -> DataFrame:
+    """(item_id, pos, seq): every window of k known bases of the whole templates."""
+    places = F.sequence(F.lit(1), F.length("dna") - (K - 1))
+    each = syn.templates(spark, sf_dir).select("item_id", F.explode(F.transform(places, lambda p: F.struct((p - 1).alias("pos"), F.substring(F.col("dna"), p, F.lit(K)).alias("seq")))).alias("w"))
+    return each.select("item_id", "w.*").where(F.instr("seq", "N") == 0)
+
+
 def kmer_encode(spark, sf_dir):
-    seq = F.substring("dna", 1, K)
-    rows = syn.templates(spark, sf_dir).select("item_id", seq.alias("seq")).where(F.instr("seq", "N") == 0)
-    return rows.select("item_id", "seq", sq.encode("seq").alias("kmer"))
+    return _windows(spark, sf_dir).select("item_id", "pos", "seq", sq.encode("seq").alias("kmer"))
 
 
 def kmer_decode(spark, sf_dir):
     rows = kmer_encode(spark, sf_dir)
-    return rows.select("item_id", sq.decode("kmer", K).alias("seq"), sq.last_base("kmer").alias("last"), sq.decode(sq.prefix_of("kmer"), K - 1).alias("prefix"), sq.decode(sq.suffix_of("kmer", K), K - 1).alias("suffix"))
+    return rows.select("item_id", "pos", sq.decode("kmer", K).alias("seq"), sq.last_base("kmer").alias("last"), sq.decode(sq.prefix_of("kmer"), K - 1).alias("prefix"), sq.decode(sq.suffix_of("kmer", K), K - 1).alias("suffix"))
 
 
 def revcomp(spark, sf_dir):
@@ -120,9 +128,10 @@ def kmer_counts_by_chunk(spark, sf_dir):
 
 
 def kmer_merge(spark, sf_dir):
-    """Counts by source, merged, as totals by count."""
-    parts = counting.count_kmers(syn.plain_reads(spark, sf_dir), K, ("source",))
-    return counting.frequencies(counting.merge_counts(parts)).select(F.col("n").alias("count"), F.col("f").alias("n_kmers"))
+    """Two count tables (documents with even and with odd identifiers), merged, as totals by count."""
+    reads = syn.plain_reads(spark, sf_dir)
+    parts = [counting.count_kmers(reads.where(F.col("doc_id") % 2 == s), K) for s in (0, 1)]
+    return counting.frequencies(counting.merge_counts(*parts)).select(F.col("n").alias("count"), F.col("f").alias("n_kmers"))
 
 
 def kmer_stats(spark, sf_dir):
@@ -244,8 +253,8 @@ SELECT 2 * r1.i AS read_id, 'R1' AS mate, r1.seq FROM r1 JOIN r2 ON r1.i = r2.i
 SELECT doc_id, CASE WHEN header = '>' THEN 'fasta' ELSE 'quality' END AS error FROM l WHERE header = '>' OR qual <> n""",
     "subreads_n_split": f"WITH {SQL_PLAIN}, parts AS (SELECT doc_id, o, list_filter(string_split(seq, 'N'), lambda x: x <> '') AS p FROM reads) SELECT doc_id, o, CAST(unnest(range(len(p))) AS INTEGER) AS part, unnest(p) AS subread FROM parts",
     "kmer_extract": f"WITH {SQL_PLAIN}, {sql_kmers('doc_id')} SELECT doc_id, count(*) AS n, count(DISTINCT kmer) AS n_distinct, min(kmer) AS least, max(kmer) AS greatest FROM km GROUP BY doc_id",
-    "kmer_encode": f"WITH t AS (SELECT item_id, substr({SQL_DNA}, 1, {K}) AS seq FROM benchmark WHERE length({SQL_DNA}) >= 150) SELECT item_id, seq, CAST(list_sum(list_transform(range({K}), lambda i: (instr('ACGT', substr(seq, i + 1, 1)) - 1) * CAST(4 ** ({K - 1} - i) AS BIGINT))) AS BIGINT) AS kmer FROM t WHERE instr(seq, 'N') = 0",
-    "kmer_decode": f"WITH t AS (SELECT item_id, substr({SQL_DNA}, 1, {K}) AS seq FROM benchmark WHERE length({SQL_DNA}) >= 150) SELECT item_id, seq, substr(seq, {K}, 1) AS last, substr(seq, 1, {K - 1}) AS prefix, substr(seq, 2, {K - 1}) AS suffix FROM t WHERE instr(seq, 'N') = 0",
+    "kmer_encode": f"WITH {SQL_WINDOWS} SELECT item_id, CAST(pos AS INTEGER) AS pos, seq, CAST(list_sum(list_transform(range({K}), lambda i: (instr('ACGT', substr(seq, i + 1, 1)) - 1) * CAST(4 ** ({K - 1} - i) AS BIGINT))) AS BIGINT) AS kmer FROM t",
+    "kmer_decode": f"WITH {SQL_WINDOWS} SELECT item_id, CAST(pos AS INTEGER) AS pos, seq, substr(seq, {K}, 1) AS last, substr(seq, 1, {K - 1}) AS prefix, substr(seq, 2, {K - 1}) AS suffix FROM t",
     "revcomp": f"WITH {SQL_PLAIN} SELECT doc_id, o, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc, least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) AS canonical FROM reads",
     "valid_bases": f"WITH {SQL_PLAIN} SELECT source, CAST(sum(length(replace(seq, 'N', ''))) AS BIGINT) AS n_valid, CAST(sum(length(seq)) AS BIGINT) AS n_bases FROM reads GROUP BY source",
     "chunk_assign": f"WITH {SQL_READS} SELECT CAST((read_id // {BATCH}) % {CHUNKS} AS INTEGER) AS chunk, count(*) AS n_reads, CAST(sum(length(replace(seq, 'N', ''))) AS BIGINT) AS n_bases, min(read_id) AS first_read FROM reads GROUP BY 1",
@@ -256,7 +265,7 @@ SELECT doc_id, CASE WHEN header = '>' THEN 'fasta' ELSE 'quality' END AS error F
     "kmer_median_int": f"WITH {SQL_COUNTS} {_MEDIAN}",
     "kmer_min_count_filter": f"WITH {SQL_COUNTS} SELECT * FROM counts WHERE n >= 5",
     "kmer_singletons": f"WITH {SQL_COUNTS}, s AS (SELECT count(*) FILTER (n = 1) AS a, CAST(sum(n) AS BIGINT) AS t, count(*) AS u FROM counts) SELECT a AS n_singletons, t - a AS n_multi, round(a / u, 9) AS singleton_rate, a / u > 0.95 AS warn FROM s",
-    "kmer_lookup": f"""WITH {SQL_COUNTS}, t AS (SELECT item_id, {SQL_DNA} AS dna FROM benchmark WHERE length({SQL_DNA}) >= 150), w AS (SELECT item_id, substr(dna, p, {K}) AS s FROM (SELECT item_id, dna, unnest(range(1, length(dna) - {K - 2})) AS p FROM t)),
+    "kmer_lookup": f"""WITH {SQL_COUNTS}, t AS (SELECT item_id, {SQL_DNA} AS dna FROM benchmark WHERE length({SQL_DNA}) >= 36), w AS (SELECT item_id, substr(dna, p, {K}) AS s FROM (SELECT item_id, dna, unnest(range(1, length(dna) - {K - 2})) AS p FROM t)),
 c AS (SELECT item_id, least(s, reverse(translate(s, 'ACGT', 'TGCA'))) AS kmer FROM w WHERE instr(s, 'N') = 0)
 SELECT item_id, count(*) AS n_windows, CAST(sum(coalesce(n, 0)) AS BIGINT) AS total, min(coalesce(n, 0)) AS least FROM c LEFT JOIN (SELECT * FROM counts WHERE n >= 2) x USING (kmer) GROUP BY item_id""",
     "kmer_invariants": f"WITH {SQL_COUNTS} SELECT (SELECT count(*) FROM km) AS ingested, CAST(sum(n) AS BIGINT) AS counted, count(*) AS distinct_kmers, count(*) AS binned, (SELECT count(*) FROM km) = sum(n) AS agree FROM counts",
@@ -276,7 +285,7 @@ SELECT * FROM (SELECT count, CAST(coalesce(sum(k) FILTER (side = 0), 0) AS BIGIN
 {_PEAKS},
 {_VALLEYS.replace('filled AS', 'filled2 AS').replace('FROM filled ', 'FROM filled2 ').replace('near AS', 'near2 AS').replace('FROM near ', 'FROM near2 ')},
 ok AS (SELECT p.chunk, v.valley FROM (SELECT chunk, count(*) AS c FROM peaks GROUP BY chunk) p JOIN (SELECT chunk, count(*) AS c, min(coverage) AS valley FROM valleys GROUP BY chunk) v ON p.chunk = v.chunk AND p.c = v.c),
-tot AS (SELECT h.chunk, o.valley, sum(count * n_kmers) AS a, sum(CASE WHEN count <= o.valley THEN count * n_kmers ELSE 0 END) AS e FROM histo h JOIN ok o ON h.chunk = o.chunk GROUP BY ALL)
+tot AS (SELECT h.chunk, o.valley, sum(count * n_kmers) AS a, sum(CASE WHEN count <= o.valley THEN count * n_kmers ELSE 0 END) AS e FROM histo h JOIN ok o ON h.chunk = o.chunk WHERE count <= 100 GROUP BY ALL)
 SELECT p.chunk, p.idx AS peak, p.coverage, t.valley, round((t.a - t.e) / p.coverage / CASE WHEN p.idx = 0 THEN 2 ELSE 1 END, 6) AS size FROM peaks p JOIN tot t ON p.chunk = t.chunk WHERE p.idx < 2""",
     "read_coverage": f"WITH {SQL_PLAIN}, b AS (SELECT source, sum(length(seq)) / 1000000 * 132 / 150 AS c FROM reads GROUP BY source) SELECT source, round(c, 9) AS kmer_coverage, round(1 - exp(-c), 9) AS chance_seen FROM b",
     "format_values": """WITH r AS (SELECT o_orderpriority, count(*) AS n, CAST(sum(CAST(trunc(o_totalprice) AS BIGINT)) AS BIGINT) AS b FROM orders GROUP BY 1)

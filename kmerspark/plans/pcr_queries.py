@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerspark.functions import sequences as sq
-from kmerspark.operators import amplicons, assembly, counting, evaluate, kmers, primers, threading
+from kmerspark.operators import amplicons, assembly, counting, evaluate, primers, threading
 from kmerspark.plans.counting_queries import K, SQL_COUNTS, SQL_DNA, SQL_PLAIN, SQL_READS, sql_kmers
+from kmerspark.session import checkpointed
 from kmerspark.sources import synthetic as syn
 
 EDGE_DEPTH = 20
@@ -26,8 +27,8 @@ def _wide(x: str) -> str:
     return f"substr({x}, 1, 4) || translate(substr({x}, 5, 1), 'ACGTN', 'RYRYN') || substr({x}, 6, 13)"
 
 
-SQL_PAIRS = f"""tmpl AS (SELECT item_id, 'item' || CAST(item_id AS VARCHAR) AS gene, {SQL_DNA} AS dna FROM benchmark WHERE length({SQL_DNA}) >= 150),
-raw AS (SELECT gene, dna, item_id, substr(dna, 1, 18) AS f, {_rc("substr(dna, 133, 18)")} AS r FROM tmpl),
+SQL_PAIRS = f"""tmpl AS (SELECT item_id, 'item' || CAST(item_id AS VARCHAR) AS gene, {SQL_DNA} AS dna FROM benchmark WHERE length({SQL_DNA}) >= 36),
+raw AS (SELECT gene, dna, item_id, substr(dna, 1, 18) AS f, {_rc("right(dna, 18)")} AS r FROM tmpl),
 pairs AS (SELECT gene, dna, item_id, {_wide("f")} AS forward_seq, {_wide("r")} AS reverse_seq FROM raw)"""
 SQL_SIDES = "sides AS (SELECT gene, 'fwd' AS dir, right(forward_seq, 15) AS primer FROM pairs UNION ALL SELECT gene, 'rev', right(reverse_seq, 15) FROM pairs)"
 
@@ -51,14 +52,38 @@ matched AS (SELECT gene, dir, CAST(min(level) AS INTEGER) AS level, kmer, max(n)
 SQL_TOP = "top AS (SELECT gene, dir, level, kmer, n FROM matched QUALIFY row_number() OVER (PARTITION BY gene, dir ORDER BY level, n DESC, kmer) <= 40)"
 SQL_COUNTS_R = f"WITH RECURSIVE {SQL_COUNTS}"
 SQL_EDGES = f"""{SQL_PAIRS},
-tw AS (SELECT gene, p - 1 AS pos, substr(dna, p, {K}) AS s FROM (SELECT gene, dna, unnest(range(1, {150 - K + 2})) AS p FROM tmpl)),
-edges AS (SELECT gene, s AS kmer, substr(s, 1, {K - 1}) AS src, substr(s, 2) AS dst, min(pos) AS pos, max(n) AS n FROM tw JOIN counts c ON c.kmer = least(s, reverse(translate(s, 'ACGT', 'TGCA'))) WHERE instr(s, 'N') = 0 AND n >= 2 GROUP BY ALL)"""
-SQL_HITS = f"""win AS (SELECT doc_id, o, p - 1 AS pos, substr(seq, p, {K}) AS s FROM (SELECT doc_id, o, seq, unnest(range(1, length(seq) - {K - 2})) AS p FROM reads WHERE length(seq) >= {K})),
-rk AS (SELECT doc_id, o, row_number() OVER (PARTITION BY doc_id, o ORDER BY pos) AS ord, s FROM win WHERE instr(s, 'N') = 0),
-hits AS (SELECT doc_id, o, gene, ord, src, dst FROM rk JOIN edges ON rk.s = edges.kmer)"""
-SQL_RUNS = f"""{SQL_HITS},
+tv AS (SELECT item_id, dna FROM tmpl UNION ALL SELECT item_id, left(dna, length(dna) - 25) || translate(substr(dna, length(dna) - 24, 1), 'ACGTN', 'CGTAN') || right(dna, 24) FROM tmpl),
+tw AS (SELECT 'g' || CAST(item_id % {syn.GRAPH_GENES} AS VARCHAR) AS gene, p - 1 AS pos, p = length(dna) - {K - 1} AS last, substr(dna, p, {K}) AS s FROM (SELECT item_id, dna, unnest(range(1, length(dna) - {K - 2})) AS p FROM tv)),
+edges AS (SELECT gene, s AS kmer, substr(s, 1, {K - 1}) AS src, substr(s, 2) AS dst, min(pos) AS pos, bool_or(last) AS last, max(greatest(coalesce(n, 0), 2)) AS n FROM tw LEFT JOIN counts c ON c.kmer = least(s, reverse(translate(s, 'ACGT', 'TGCA'))) WHERE instr(s, 'N') = 0 GROUP BY gene, s)"""
+
+
+def _sql_hits(keys: str) -> str:
+    """hits: the edge of each k-mer of a read, on either strand; of two, the one that follows the edge before."""
+    return f"""win1 AS (SELECT {keys}, p - 1 AS pos, substr(seq, p, {K}) AS s FROM (SELECT {keys}, seq, unnest(range(1, length(seq) - {K - 2})) AS p FROM reads WHERE length(seq) >= {K})),
+rk AS (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY pos) AS ord, least(s, reverse(translate(s, 'ACGT', 'TGCA'))) AS c FROM win1 WHERE instr(s, 'N') = 0),
+ec AS (SELECT gene, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS c, src, dst FROM edges),
+h0 AS (SELECT {keys}, gene, ord, src, dst FROM rk JOIN ec USING (c)),
+before AS (SELECT DISTINCT {keys}, gene, ord + 1 AS ord, dst AS src, true AS follows FROM h0),
+hits AS (SELECT {keys}, gene, ord, src, dst FROM h0 LEFT JOIN before USING ({keys}, gene, ord, src) QUALIFY row_number() OVER (PARTITION BY {keys}, gene, ord ORDER BY coalesce(follows, false) DESC, src, dst) = 1)"""
+
+
+SQL_RUNS = f"""{_sql_hits('doc_id, o')},
 laid AS (SELECT *, sum(CASE WHEN pord = ord - 1 AND pdst = src THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, o, gene ORDER BY ord) AS run FROM (SELECT *, lag(ord) OVER w AS pord, lag(dst) OVER w AS pdst FROM hits WINDOW w AS (PARTITION BY doc_id, o, gene ORDER BY ord))),
-deg AS (SELECT gene, node, sum(x) AS outs, sum(y) AS ins FROM (SELECT gene, src AS node, 1 AS x, 0 AS y FROM edges UNION ALL SELECT gene, dst, 0, 1 FROM edges) GROUP BY ALL)"""
+deg AS (SELECT gene, node, sum(x) AS outs, sum(y) AS ins FROM (SELECT gene, src AS node, 1 AS x, 0 AS y FROM edges UNION ALL SELECT gene, dst, 0, 1 FROM edges) GROUP BY ALL),
+fork AS (SELECT gene, node FROM deg WHERE outs > 1 OR ins > 1),
+nx AS (SELECT *, lead(src) OVER (PARTITION BY doc_id, o, gene, run ORDER BY ord) AS nsrc, lead(dst) OVER (PARTITION BY doc_id, o, gene, run ORDER BY ord) AS ndst FROM laid),
+mk AS (SELECT nx.*, max(CASE WHEN fork.node IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, o, nx.gene, run) AS dirty FROM nx LEFT JOIN fork ON fork.gene = nx.gene AND fork.node = nsrc),
+support AS (SELECT gene, src, dst, count(*) AS total, count(*) FILTER (dirty = 0) AS unambiguous FROM mk GROUP BY gene, src, dst),
+links AS (SELECT nx.gene, src AS in_src, dst AS via, ndst AS out_dst, count(*) AS n FROM nx JOIN fork ON fork.gene = nx.gene AND fork.node = nx.dst WHERE ndst IS NOT NULL GROUP BY ALL)"""
+SQL_WALK = "ed AS (SELECT gene, src, dst FROM edges WHERE src <> dst)"
+SQL_BUBBLES = f"""{SQL_WALK},
+od AS (SELECT gene, src AS node, count(*) AS outs FROM ed GROUP BY ALL),
+br AS (SELECT e.gene, e.src AS source, e.dst AS first, e.dst AS node, [e.src, e.dst] AS path, 1 AS depth FROM ed e JOIN od o ON o.gene = e.gene AND o.node = e.src WHERE o.outs > 1
+ UNION ALL SELECT b.gene, b.source, b.first, e.dst, list_append(b.path, e.dst), depth + 1 FROM br b JOIN od o ON o.gene = b.gene AND o.node = b.node AND o.outs = 1 JOIN ed e ON e.gene = b.gene AND e.src = b.node WHERE depth < {threading.BUBBLE_DEPTH} AND NOT list_contains(b.path[1:len(b.path) - 1], b.node)),
+ended AS (SELECT b.* FROM br b LEFT JOIN od o ON o.gene = b.gene AND o.node = b.node WHERE coalesce(o.outs, 0) <> 1 AND NOT list_contains(b.path[1:len(b.path) - 1], b.node)),
+way AS (SELECT * FROM ended WHERE node <> source QUALIFY count(*) OVER (PARTITION BY gene, source, node) > 1)"""
+#: The counts, with other names for what the reads' windows are called there.
+SQL_COUNTS_0 = SQL_COUNTS.replace("win AS", "win0 AS").replace("FROM win ", "FROM win0 ")
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
@@ -78,17 +103,26 @@ def _top(spark, sf_dir) -> DataFrame:
     return primers.most_frequent(_matched(spark, sf_dir))
 
 
-def _edges(spark, sf_dir, whole: bool = False) -> DataFrame:
-    """(gene, kmer, src, dst, pos, n): the counted k-mers along each template's amplicon, oriented.
+def _edges(spark, sf_dir) -> DataFrame:
+    """(gene, kmer, src, dst, pos, last, n): the k-mers along whole templates and their variants, oriented.
 
-    ``whole``: along the whole template.
+    A variant differs from its template in one base, so a gene's graph of several templates
+    branches and has bubbles. ``pos`` is the least place of the k-mer in a template, ``last``
+    whether it ends one; ``n`` is its count among the reads, 2 at least.
     """
-    starts = F.sequence(F.lit(1), (F.length("dna") if whole else F.lit(syn.AMPLICON)) - K + 1)
-    windows = syn.templates(spark, sf_dir).select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("gene"), F.explode(F.transform(starts, lambda p: F.struct((p - 1).alias("pos"), F.substring(F.col("dna"), p, F.lit(K)).alias("s")))).alias("w"))
-    clean = windows.select("gene", "w.pos", "w.s").where(F.instr("s", "N") == 0).withColumn("canonical", sq.encode(sq.canonical("s")))
-    counts = _counts(spark, sf_dir).where("n >= 2").withColumnRenamed("kmer", "canonical")
-    joined = clean.join(counts, "canonical").withColumn("kmer", sq.encode("s"))
-    return joined.groupBy("gene", "kmer").agg(F.min("pos").alias("pos"), F.max("n").alias("n")).select("gene", "kmer", sq.prefix_of("kmer").alias("src"), sq.suffix_of("kmer", K).alias("dst"), "pos", "n")
+    starts = F.sequence(F.lit(1), F.length("dna") - (K - 1))
+    last = F.length("dna") - (K - 1)
+    gene = F.concat(F.lit("g"), (F.col("item_id") % syn.GRAPH_GENES).cast("string"))
+    long = F.length("dna")
+    variant = F.concat(F.col("dna").substr(F.lit(1), long - 25), F.translate(F.col("dna").substr(long - 24, F.lit(1)), "ACGTN", "CGTAN"), F.col("dna").substr(long - 23, F.lit(24)))
+    both = syn.templates(spark, sf_dir).select("item_id", F.explode(F.array(F.col("dna"), variant)).alias("dna"))
+    windows = both.select(gene.alias("gene"), F.explode(F.transform(starts, lambda p: F.struct((p - 1).alias("pos"), (p == last).alias("last"), F.substring(F.col("dna"), p, F.lit(K)).alias("s")))).alias("w"))
+    clean = windows.select("gene", "w.pos", "w.last", "w.s").where(F.instr("s", "N") == 0).withColumn("canonical", sq.encode(sq.canonical("s")))
+    # the templates' k-mers go to the counts, which stay where they are
+    wanted = F.broadcast(clean.select("canonical").distinct())
+    counts = _counts(spark, sf_dir).withColumnRenamed("kmer", "canonical").join(wanted, "canonical", "left_semi")
+    joined = clean.join(counts, "canonical", "left").withColumn("kmer", sq.encode("s")).withColumn("n", F.greatest(F.coalesce("n", F.lit(0)), F.lit(2)))
+    return joined.groupBy("gene", "kmer").agg(F.min("pos").alias("pos"), F.bool_or("last").alias("last"), F.max("n").alias("n")).select("gene", "kmer", sq.prefix_of("kmer").alias("src"), sq.suffix_of("kmer", K).alias("dst"), "pos", "last", "n")
 
 
 def _node(c: str):
@@ -155,12 +189,14 @@ def _templates_with_primers(spark, sf_dir) -> DataFrame:
 
 
 def binding_positions(spark, sf_dir):
-    """Sites of each template and, as a relative, of the template after it."""
+    """The sites that each forward primer has in its template and in the template after it."""
     rows = _templates_with_primers(spark, sf_dir).withColumn("item", F.regexp_extract("gene", "[0-9]+", 0).cast("int"))
-    from pyspark.sql import Window
-
-    after = F.lead("dna").over(Window.orderBy("item"))
-    sites = rows.withColumn("next", after).select("gene", F.col("forward_seq").alias("primer"), F.explode(F.filter(F.array(F.substring("dna", 1, 18), F.substring("next", 1, 18)), lambda x: x.isNotNull())).alias("site"))
+    # a few hundred templates
+    rows = rows.withColumn("next", F.lead("dna").over(Window.orderBy("item")))
+    both = F.explode(F.array(F.struct(F.lit("own").alias("at"), F.col("dna").alias("dna")), F.struct(F.lit("next").alias("at"), F.col("next").alias("dna"))))
+    each = rows.select("gene", "forward_seq", both.alias("x")).select("gene", F.concat_ws(" ", "gene", "x.at").alias("key"), "forward_seq", "x.dna").where("dna is not null")
+    hits = primers.find(each, "key", "dna", "forward_seq").select("key", "start", "stop")
+    sites = each.join(hits, "key").select("gene", F.col("forward_seq").alias("primer"), F.col("dna").substr(F.col("start") + 1, F.col("stop") - F.col("start")).alias("site"))
     return primers.binding(sites)
 
 
@@ -188,19 +224,11 @@ def graph_degree_summary(spark, sf_dir):
 
 
 def _per_gene(edges: DataFrame, work, schema: str) -> DataFrame:
-    """Run ``work(gene, graph)`` on each gene's graph; the first edge's source is its start, the last one's end its end."""
+    """Run ``work(gene, graph)`` on each gene's graph; templates begin at its starts and end at its ends."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["pos", "kmer"])
-        graph = assembly.Graph(K)
-        for src, dst, n in zip(rows.src, rows.dst, rows.n):
-            graph.add_node(int(src))
-            graph.add_node(int(dst))
-            if src != dst:
-                graph.add_edge(int(src), int(dst), int(n))
-        graph.starts[int(rows.src.iloc[0])] = None
-        graph.ends[int(rows.dst.iloc[-1])] = None
-        return pd.DataFrame(work(rows.gene.iloc[0], graph), columns=[c.split()[0] for c in schema.split(", ")])
+        rows = rows[rows.src != rows.dst].assign(starts=rows.pos == 0, ends=rows["last"])
+        return pd.DataFrame(work(str(rows.gene.iloc[0]) if len(rows) else "", assembly.graph_of(rows, K)), columns=[c.split()[0] for c in schema.split(", ")])
 
     return edges.groupBy("gene").applyInPandas(run, schema)
 
@@ -211,7 +239,7 @@ def graph_descendants(spark, sf_dir):
         for _ in range(EDGE_DEPTH):
             level = {d for node in level for d in graph.ahead[node]} - seen
             seen = seen | level
-        return [(gene, len(seen))]
+        return [(gene, len(seen))] if seen else []
 
     return _per_gene(_edges(spark, sf_dir), work, "gene string, n_reached bigint")
 
@@ -230,75 +258,63 @@ def graph_tips(spark, sf_dir):
         assembly.remove_tips(graph, 0.5)
         return [(gene, len(before), len(before) - len(graph.ahead))]
 
-    return _per_gene(_edges(spark, sf_dir, whole=True), work, "gene string, n_nodes bigint, n_removed bigint")
+    return _per_gene(_edges(spark, sf_dir), work, "gene string, n_nodes bigint, n_removed bigint")
 
 
 def graph_bubbles(spark, sf_dir):
     def work(gene, graph):
         return [(gene, a, b, len(ways)) for a, b, ways in threading.bubbles(graph)]
 
-    return _per_gene(_edges(spark, sf_dir, whole=True), work, "gene string, source bigint, sink bigint, branches bigint")
-
-
-def _read_kmers(spark, sf_dir) -> DataFrame:
-    """(doc_id, o, ord, kmer): oriented k-mers with their place among those of the read."""
-    reads = syn.plain_reads(spark, sf_dir)
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for start in range(0, batch.num_rows, 8000):
-                part = batch.slice(start, 8000)
-                row, _, values = kmers.batch_kmers(part.column("seq"), K, strand=False)
-                first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, int)
-                place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) + 1
-                own = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), part.column("o").take(own), pa.array(place), pa.array(values)], names=["doc_id", "o", "ord", "kmer"])
-
-    return reads.select("doc_id", "o", "seq").mapInArrow(run, "doc_id bigint, o int, ord bigint, kmer bigint")
+    return _per_gene(_edges(spark, sf_dir), work, "gene string, source bigint, sink bigint, branches bigint").select("gene", _node("source"), _node("sink"), "branches")
 
 
 READ = ("doc_id", "o")
 
 
-def _laid(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    edges = _edges(spark, sf_dir)
-    return threading.runs(threading.on_edges(_read_kmers(spark, sf_dir), edges, READ), READ), edges
-
-
 def read_filter_semi(spark, sf_dir):
     top = _top(spark, sf_dir).select(sq.encode(sq.canonical(sq.decode("kmer", K))).alias("kmer"))
-    return threading.filter_reads(kmers.extract(syn.plain_reads(spark, sf_dir), K, READ), top, READ)
+    return threading.filter_reads(syn.plain_reads(spark, sf_dir), top, K, READ)
 
 
 def read_runs(spark, sf_dir):
-    laid, _ = _laid(spark, sf_dir)
+    laid = threading.lay(syn.plain_reads(spark, sf_dir), checkpointed(_edges(spark, sf_dir)), K, READ)
     return laid.groupBy(*READ, "gene", "run").agg(F.count("*").alias("n_edges"), F.min("ord").alias("first"))
 
 
+def _threaded(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    edges = checkpointed(_edges(spark, sf_dir))
+    return threading.thread(syn.plain_reads(spark, sf_dir), edges, K, READ), edges
+
+
 def edge_support(spark, sf_dir):
-    laid, edges = _laid(spark, sf_dir)
-    return threading.support(laid, edges, READ).select("gene", _node("src"), _node("dst"), "total", "unambiguous")
+    return threading.support(_threaded(spark, sf_dir)[0]).select("gene", _node("src"), _node("dst"), "total", "unambiguous")
 
 
 def branch_links(spark, sf_dir):
-    laid, edges = _laid(spark, sf_dir)
-    return threading.branch_links(laid, edges, READ).select("gene", _node("in_src"), _node("via"), _node("out_dst"), "n")
+    return threading.branch_links(_threaded(spark, sf_dir)[0]).select("gene", _node("in_src"), _node("via"), _node("out_dst"), "n")
 
 
 def paired_links(spark, sf_dir):
-    edges = _edges(spark, sf_dir).select("gene", sq.encode(sq.canonical(sq.decode("kmer", K))).alias("kmer")).distinct()
-    found = kmers.extract(syn.reads(spark, sf_dir), K, ("read_id",)).join(edges, "kmer").select("gene", "read_id")
-    return threading.paired_links(found)
+    return threading.paired_links(threading.lay(syn.reads(spark, sf_dir), checkpointed(_edges(spark, sf_dir)), K, ("read_id",)))
 
 
 def bubble_preferences(spark, sf_dir):
-    """Support of the ways out of each branching node of the templates' graphs, relative to the best."""
-    laid, edges = _laid(spark, sf_dir)
-    links = threading.branch_links(laid, edges, READ).groupBy("gene", "via", "out_dst").agg(F.sum("n").alias("support"))
-    return threading.preferences(links, "gene", "via").select("gene", _node("via"), _node("out_dst"), "support", F.round("preference", 9).alias("preference"))
+    """Every branch of every bubble with its evidence, over that of the best one."""
+    threaded, edges = _threaded(spark, sf_dir)
+    both = edges.where("src <> dst").unionByName(threaded.select("gene", "src", "dst", "out_dst", "total"), allowMissingColumns=True)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        own, read = rows[rows.kmer.notna()], rows[rows.kmer.isna()]
+        graph = assembly.graph_of(own.assign(starts=False, ends=False), K)
+        one, two = read[read.out_dst.isna()], read[read.out_dst.notna()]
+        totals = {(int(a), int(b)): int(n) for a, b, n in zip(one.src, one.dst, one.total)}
+        links = {(int(a), int(b), int(c)): int(n) for a, b, c, n in zip(two.src, two.dst, two.out_dst, two.total)}
+        found = [(rows.gene.iloc[0], bubble, threading.rank_branches(graph, bubble, totals, links)) for bubble in threading.bubbles(graph)]
+        out = [(gene, source, sink, way[1], evidence, evidence / ranked[0][0] if ranked[0][0] else 1.0) for gene, (source, sink, _), ranked in found for evidence, way in ranked]
+        return pd.DataFrame(out, columns=["gene", "source", "sink", "first", "evidence", "preference"])
+
+    ranked = both.groupBy("gene").applyInPandas(run, "gene string, source bigint, sink bigint, first bigint, evidence bigint, preference double")
+    return ranked.select("gene", _node("source"), _node("sink"), _node("first"), "evidence", F.round("preference", 9).alias("preference"))
 
 
 def path_score(spark, sf_dir):
@@ -311,8 +327,8 @@ def path_score(spark, sf_dir):
 
 
 def amplicon_rank(spark, sf_dir):
-    """Reads ranked within their source by length, then sequence."""
-    rows = syn.plain_reads(spark, sf_dir).groupBy("source", "seq").agg(F.count("*").alias("score")).where("score > 1").withColumnRenamed("source", "gene")
+    """Whole templates ranked within their gene by score, then sequence."""
+    rows = _template_products(spark, sf_dir).withColumn("score", F.col("length") % 7)
     return amplicons.rank(rows).select("gene", "seq", "score", "rank")
 
 
@@ -322,7 +338,7 @@ def _template_products(spark, sf_dir) -> DataFrame:
 
 
 def amplicon_dedup(spark, sf_dir):
-    return amplicons.distinct_products(_template_products(spark, sf_dir), 10)
+    return amplicons.distinct_products(_template_products(spark, sf_dir), 10).select("gene", "product", "seq", "length")
 
 
 def fasta_lines(spark, sf_dir):
@@ -335,20 +351,27 @@ def dot_graph(spark, sf_dir):
     return amplicons.dot_lines(edges)
 
 
-def _spcr(spark, sf_dir):
+def _spcr(spark, sf_dir, threaded: bool = False):
     pairs = _pairs(spark, sf_dir)
-    from kmerspark.session import checkpointed
-
-    counts = checkpointed(_counts(spark, sf_dir))
+    reads = syn.plain_reads(spark, sf_dir)
+    counts = checkpointed(counting.count_kmers(reads, K))
     top = checkpointed(primers.most_frequent(primers.match(counts, primers.oligos(pairs, K), K, 2)))
     bases = F.coalesce(F.sum(F.length("seq")), F.lit(0))
-    budget = syn.plain_reads(spark, sf_dir).agg(primers.node_budget(bases)).first()[0]
-    steps = checkpointed(assembly.path_steps(counts, top, pairs, K, {"node_budget": budget}))
+    budget = reads.agg(primers.node_budget(bases)).first()[0]
+    steps = checkpointed(assembly.path_steps(counts, top, pairs, K, {"node_budget": budget}, reads=reads if threaded else None, keys=READ))
     return pairs, steps, amplicons.distinct_products(amplicons.products(steps, K), 10)
 
 
+_PRODUCT = ("gene", "product", "length", "median", "least", "most")
+
+
 def spcr_products(spark, sf_dir):
-    return _spcr(spark, sf_dir)[2].select("gene", "product", "length", "median", "least", "most", F.round("score", 6).alias("score"), "seq")
+    return _spcr(spark, sf_dir)[2].select(*_PRODUCT, F.round("score", 6).alias("score"), "seq")
+
+
+def spcr_threaded(spark, sf_dir):
+    """Products of graphs along which the reads were laid."""
+    return _spcr(spark, sf_dir, threaded=True)[2].select(*_PRODUCT, F.round("support", 6).alias("support"), F.round("score", 6).alias("score"), "seq")
 
 
 def spcr_results(spark, sf_dir):
@@ -398,8 +421,8 @@ _EDGE = f"WITH {SQL_COUNTS},\n{SQL_EDGES}"
 _ALLOWED = f"CASE WHEN contains({SQL_MAP}[substr(p, i + 1, 1)], substr(dna, st + i, 1)) THEN 0 ELSE 1 END"
 
 
-def _hits(primer: str, name: str) -> str:
-    return f"""{name} AS (SELECT gene, st - 1 AS a, st - 1 + length(p) AS b, miss FROM (SELECT gene, st, p, list_sum(list_transform(range(length(p)), lambda i: {_ALLOWED})) AS miss, FROM (SELECT gene, dna, {primer} AS p, unnest(range(1, length(dna) - 18 + 2)) AS st FROM pairs)) WHERE miss <= 2 QUALIFY min(miss) OVER (PARTITION BY gene) > 0 OR miss = 0)"""
+def _hits(primer: str, name: str, rows: str = "pairs") -> str:
+    return f"""{name} AS (SELECT gene, st - 1 AS a, st - 1 + length(p) AS b, miss FROM (SELECT gene, st, p, list_sum(list_transform(range(length(p)), lambda i: {_ALLOWED})) AS miss, FROM (SELECT gene, dna, {primer} AS p, unnest(range(1, length(dna) - 18 + 2)) AS st FROM {rows})) WHERE miss <= 2 QUALIFY min(miss) OVER (PARTITION BY gene) > 0 OR miss = 0)"""
 
 
 def _bits(x: str) -> str:
@@ -423,8 +446,8 @@ SELECT gene, CASE WHEN h <= 2 THEN '2' ELSE array_to_string(list_reverse_sort(li
     "amplicon_extract": f"""WITH {SQL_PAIRS}, {_hits('forward_seq', 'f')}, {_hits(_rc('reverse_seq'), 'r')},
 best AS (SELECT f.gene, f.a, r.b FROM f JOIN r ON f.gene = r.gene WHERE r.b - f.a BETWEEN 0 AND 10000 QUALIFY row_number() OVER (PARTITION BY f.gene ORDER BY r.b - f.a, f.a) = 1)
 SELECT best.gene, a AS start, b AS stop, substr(dna, a + 1, b - a) AS amplicon FROM best JOIN pairs ON best.gene = pairs.gene""",
-    "binding_positions": f"""WITH {SQL_PAIRS}, x AS (SELECT gene, forward_seq AS p, substr(dna, 1, 18) AS a, substr(lead(dna) OVER (ORDER BY item_id), 1, 18) AS b FROM pairs),
-s AS (SELECT gene, p, a AS site FROM x UNION ALL SELECT gene, p, b FROM x WHERE b IS NOT NULL), e AS (SELECT gene, p, i + 1 AS pos, substr(p, i + 1, 1) AS code, list_sort(list(DISTINCT substr(site, i + 1, 1))) AS seen FROM (SELECT *, unnest(range(length(site))) AS i FROM s) GROUP BY ALL),
+    "binding_positions": f"""WITH {SQL_PAIRS}, rel AS (SELECT gene || ' own' AS gene, gene AS g, dna, forward_seq FROM pairs UNION ALL SELECT gene || ' next', gene, nd, forward_seq FROM (SELECT gene, forward_seq, lead(dna) OVER (ORDER BY item_id) AS nd FROM pairs) WHERE nd IS NOT NULL),
+{_hits('forward_seq', 'h', 'rel')}, s AS (SELECT g AS gene, forward_seq AS p, substr(dna, a + 1, b - a) AS site FROM h JOIN rel ON h.gene = rel.gene), e AS (SELECT gene, p, i + 1 AS pos, substr(p, i + 1, 1) AS code, list_sort(list(DISTINCT substr(site, i + 1, 1))) AS seen FROM (SELECT *, unnest(range(length(site))) AS i FROM s) GROUP BY ALL),
 t AS (SELECT *, string_split({SQL_MAP}[code], '') AS allowed FROM e), u AS (SELECT *, CASE WHEN len(list_filter(seen, lambda z: NOT list_contains(allowed, z))) > 0 THEN 'mismatch_absorbed' WHEN len(allowed) = 1 THEN 'fixed' WHEN len(list_intersect(seen, allowed)) = len(allowed) THEN 'fully_utilised' ELSE 'could_reduce' END AS status FROM t)
 SELECT gene, CAST(pos AS INTEGER) AS pos, code, array_to_string(seen, '') AS seen, status, CASE status WHEN 'mismatch_absorbed' THEN {SQL_BACK}[array_to_string(list_sort(list_distinct(list_concat(allowed, seen))), '')] WHEN 'could_reduce' THEN {SQL_BACK}[array_to_string(seen, '')] ELSE code END AS suggested FROM u""",
     "seed_nodes": f"{_WITH} SELECT gene, CASE WHEN dir = 'fwd' THEN substr(kmer, 1, {K - 1}) ELSE substr({_rc('kmer')}, 2) END AS node, bool_or(dir = 'fwd') AS is_start, bool_or(dir = 'rev') AS is_end FROM top GROUP BY ALL",
@@ -434,40 +457,39 @@ SELECT gene, CAST(pos AS INTEGER) AS pos, code, array_to_string(seen, '') AS see
 a AS (SELECT gene, count(*) AS n_nodes, CAST(max(outs) AS BIGINT) AS max_out, round(avg(outs), 9) AS mean_out FROM deg GROUP BY gene), b AS (SELECT gene, count(*) AS n_edges, max(n) AS max_n, round(avg(n), 9) AS mean_n, median(n) AS median_n, round(stddev_pop(n) / avg(n), 9) AS cv FROM edges GROUP BY gene) SELECT * FROM a JOIN b USING (gene)""",
     "graph_descendants": f"""WITH RECURSIVE {SQL_COUNTS},
 {SQL_EDGES},
-st AS (SELECT gene, arg_min(src, pos) AS node FROM edges GROUP BY gene), ed AS (SELECT gene, src, dst FROM edges WHERE src <> dst),
+{SQL_WALK}, st AS (SELECT DISTINCT gene, src AS node FROM edges WHERE pos = 0 AND src <> dst),
 walk AS (SELECT gene, node, 0 AS d FROM st UNION SELECT w.gene, e.dst, d + 1 FROM walk w JOIN ed e ON w.gene = e.gene AND w.node = e.src WHERE d < {EDGE_DEPTH})
 SELECT gene, count(DISTINCT node) AS n_reached FROM walk GROUP BY gene""",
     "graph_reachability": f"""WITH RECURSIVE {SQL_COUNTS},
 {SQL_EDGES},
-ed AS (SELECT gene, src, dst FROM edges WHERE src <> dst), st AS (SELECT gene, arg_min(src, pos) AS s, arg_max(dst, pos) AS e FROM edges GROUP BY gene),
-fw AS (SELECT gene, s AS node FROM st UNION SELECT w.gene, x.dst FROM fw w JOIN ed x ON w.gene = x.gene AND w.node = x.src),
-bw AS (SELECT gene, e AS node FROM st UNION SELECT w.gene, x.src FROM bw w JOIN ed x ON w.gene = x.gene AND w.node = x.dst)
+{SQL_WALK},
+fw AS (SELECT DISTINCT gene, src AS node FROM edges WHERE pos = 0 AND src <> dst UNION SELECT w.gene, x.dst FROM fw w JOIN ed x ON w.gene = x.gene AND w.node = x.src),
+bw AS (SELECT DISTINCT gene, dst AS node FROM edges WHERE last AND src <> dst UNION SELECT w.gene, x.src FROM bw w JOIN ed x ON w.gene = x.gene AND w.node = x.dst)
 SELECT gene, node FROM fw INTERSECT SELECT gene, node FROM bw""",
     "read_filter_semi": f"WITH RECURSIVE {SQL_PLAIN}, {sql_kmers('doc_id, o')}, counts AS (SELECT kmer, count(*) AS n FROM km GROUP BY kmer),\n{SQL_MATCH},\n{SQL_TOP} SELECT DISTINCT doc_id, CAST(o AS INTEGER) AS o FROM km WHERE kmer IN (SELECT least(kmer, {_rc('kmer')}) FROM top)",
-    "read_runs": f"WITH {SQL_COUNTS.replace('win AS', 'win0 AS').replace('FROM win ', 'FROM win0 ')},\n{SQL_EDGES},\n{SQL_RUNS} SELECT doc_id, CAST(o AS INTEGER) AS o, gene, CAST(run AS INTEGER) AS run, count(*) AS n_edges, min(ord) AS first FROM laid GROUP BY ALL",
-    "edge_support": f"""WITH {SQL_COUNTS.replace('win AS', 'win0 AS').replace('FROM win ', 'FROM win0 ')},
-{SQL_EDGES},
-{SQL_RUNS},
-nx AS (SELECT *, lead(src) OVER (PARTITION BY doc_id, o, gene, run ORDER BY ord) AS nsrc FROM laid),
-mk AS (SELECT nx.*, max(CASE WHEN deg.node IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, o, nx.gene, run) AS dirty FROM nx LEFT JOIN deg ON deg.gene = nx.gene AND deg.node = nsrc AND (outs > 1 OR ins > 1))
-SELECT gene, src, dst, count(*) AS total, count(*) FILTER (dirty = 0) AS unambiguous FROM mk GROUP BY gene, src, dst""",
-    "branch_links": f"""WITH {SQL_COUNTS.replace('win AS', 'win0 AS').replace('FROM win ', 'FROM win0 ')},
-{SQL_EDGES},
-{SQL_RUNS},
-nx AS (SELECT gene, src, dst, lead(dst) OVER (PARTITION BY doc_id, o, gene, run ORDER BY ord) AS nd FROM laid)
-SELECT gene, src AS in_src, dst AS via, nd AS out_dst, count(*) AS n FROM nx WHERE nd IS NOT NULL AND (gene, dst) IN (SELECT (gene, node) FROM deg WHERE outs > 1 OR ins > 1) GROUP BY ALL""",
+    "read_runs": f"WITH {SQL_COUNTS_0},\n{SQL_EDGES},\n{SQL_RUNS} SELECT doc_id, CAST(o AS INTEGER) AS o, gene, CAST(run AS INTEGER) AS run, count(*) AS n_edges, min(ord) AS first FROM laid GROUP BY ALL",
+    "edge_support": f"WITH {SQL_COUNTS_0},\n{SQL_EDGES},\n{SQL_RUNS} SELECT * FROM support",
+    "branch_links": f"WITH {SQL_COUNTS_0},\n{SQL_EDGES},\n{SQL_RUNS} SELECT * FROM links",
     "paired_links": f"""WITH {SQL_READS}, {sql_kmers('read_id')}, counts AS (SELECT kmer, count(*) AS n FROM km GROUP BY kmer),
-{SQL_EDGES}, ce AS (SELECT DISTINCT gene, least(kmer, {_rc('kmer')}) AS kmer FROM edges),
-h AS (SELECT gene, read_id // 2 AS pair_id, count(*) FILTER (read_id % 2 = 0) AS r1_hits, count(*) FILTER (read_id % 2 = 1) AS r2_hits FROM km JOIN ce USING (kmer) GROUP BY ALL) SELECT * FROM h WHERE r1_hits > 0 AND r2_hits > 0""",
-    "bubble_preferences": f"""WITH {SQL_COUNTS.replace('win AS', 'win0 AS').replace('FROM win ', 'FROM win0 ')},
+{SQL_EDGES}, {_sql_hits('read_id')},
+h AS (SELECT gene, read_id // 2 AS pair_id, count(*) FILTER (read_id % 2 = 0) AS r1_hits, count(*) FILTER (read_id % 2 = 1) AS r2_hits FROM hits GROUP BY ALL) SELECT * FROM h WHERE r1_hits > 0 AND r2_hits > 0""",
+    "bubble_preferences": f"""WITH RECURSIVE {SQL_COUNTS_0},
 {SQL_EDGES},
 {SQL_RUNS},
-nx AS (SELECT gene, dst AS via, lead(dst) OVER (PARTITION BY doc_id, o, gene, run ORDER BY ord) AS out_dst FROM laid),
-l AS (SELECT gene, via, out_dst, count(*) AS support FROM nx WHERE out_dst IS NOT NULL AND (gene, via) IN (SELECT (gene, node) FROM deg WHERE outs > 1 OR ins > 1) GROUP BY ALL)
-SELECT gene, via, out_dst, support, round(support / max(support) OVER (PARTITION BY gene, via), 9) AS preference FROM l""",
+{SQL_BUBBLES},
+steps AS (SELECT gene, source, node AS sink, first, path[i] AS src, path[i + 1] AS dst FROM (SELECT *, unnest(range(1, len(path))) AS i FROM way)),
+ev AS (SELECT t.gene, source, sink, first, CAST(coalesce(sum(total), 0) AS BIGINT) AS reads FROM steps t LEFT JOIN support s ON s.gene = t.gene AND s.src = t.src AND s.dst = t.dst GROUP BY ALL),
+ph AS (SELECT l.gene, via AS source, out_dst AS first, CAST(sum(n) AS BIGINT) AS phase FROM links l JOIN ed ON ed.gene = l.gene AND ed.src = l.in_src AND ed.dst = l.via GROUP BY ALL),
+al AS (SELECT ev.gene, ev.source, sink, ev.first, reads + coalesce(phase, 0) AS evidence FROM ev LEFT JOIN ph ON ph.gene = ev.gene AND ph.source = ev.source AND ph.first = ev.first)
+SELECT *, round(CASE WHEN max(evidence) OVER w > 0 THEN evidence / max(evidence) OVER w ELSE 1.0 END, 9) AS preference FROM al WINDOW w AS (PARTITION BY gene, source, sink)""",
     "path_score": f"""{_EDGE}, s AS (SELECT gene, median(n) AS median, min(n) AS least, max(n) AS most, avg(n) AS mean, stddev_pop(n) / avg(n) AS cv FROM edges GROUP BY gene)
 SELECT gene, median, least, most, round(mean, 6) AS mean, round(cv, 6) AS cv, round(median * CASE WHEN cv > 1 THEN 1 / cv ELSE 1 END * CASE WHEN most / median > 5 THEN 5 / (most / median) ELSE 1 END, 6) AS score FROM s""",
-    "amplicon_rank": f"WITH {SQL_PLAIN}, g AS (SELECT source AS gene, seq, count(*) AS score FROM reads GROUP BY ALL HAVING count(*) > 1) SELECT *, CAST(row_number() OVER (PARTITION BY gene ORDER BY score DESC, seq) - 1 AS INTEGER) AS rank FROM g",
+    "amplicon_rank": f"WITH {SQL_PAIRS}, g AS (SELECT 'g' || CAST(item_id % 5 AS VARCHAR) AS gene, dna AS seq, CAST(length(dna) % 7 AS INTEGER) AS score FROM tmpl) SELECT *, CAST(row_number() OVER (PARTITION BY gene ORDER BY score DESC, seq) - 1 AS INTEGER) AS rank FROM g",
+    "graph_bubbles": f"WITH RECURSIVE {SQL_COUNTS},\n{SQL_EDGES},\n{SQL_BUBBLES} SELECT gene, source, node AS sink, count(*) AS branches FROM way GROUP BY ALL",
+    "amplicon_dedup": f"""WITH RECURSIVE {SQL_PAIRS}, o AS (SELECT 'g' || CAST(item_id % 5 AS VARCHAR) AS gene, dna AS seq, row_number() OVER (PARTITION BY item_id % 5 ORDER BY length(dna) DESC, dna) AS r FROM tmpl),
+k AS (SELECT gene, r, [seq] AS kept FROM o WHERE r = 1 UNION ALL SELECT k.gene, o.r, CASE WHEN len(list_filter(k.kept, lambda y: levenshtein(y, o.seq) <= 10)) > 0 THEN k.kept ELSE list_append(k.kept, o.seq) END FROM k JOIN o ON o.gene = k.gene AND o.r = k.r + 1),
+f AS (SELECT gene, kept[1:20] AS kept FROM k QUALIFY r = max(r) OVER (PARTITION BY gene))
+SELECT gene, CAST(unnest(range(len(kept))) AS INTEGER) AS product, unnest(kept) AS seq, length(unnest(kept)) AS length FROM f""",
     "fasta_lines": f"""WITH {SQL_PAIRS} SELECT gene, 0 AS product, '>bench_' || gene || '_0 product=0 length=' || length(dna) || ' kmer_count_median=2.00 score=1.5000' || chr(10) || array_to_string(list_transform(range(0, length(dna), 80), lambda i: substr(dna, i + 1, 80)), chr(10)) || chr(10) AS record FROM tmpl""",
     "dot_graph": f"""{_EDGE}, l AS (SELECT gene, '  ' || src || ' -> ' || dst || ' [label="' || n || '"];' AS line FROM edges) SELECT gene, 'digraph {{' || chr(10) || string_agg(line, chr(10) ORDER BY line) || chr(10) || '}}' AS dot FROM l GROUP BY gene""",
     "score_codes": f"WITH {SQL_EVAL} SELECT panel, code AS score, count(*) AS n, CAST(sum(points) AS BIGINT) AS points FROM scored GROUP BY ALL",
@@ -479,5 +501,5 @@ SELECT *, CAST(row_number() OVER (PARTITION BY knob ORDER BY points DESC, value)
     "performance_summary": f"WITH {SQL_EVAL} SELECT panel, max_reads, count(DISTINCT accession) AS runs, CAST(sum(wall_time_s) AS BIGINT) AS wall_time_s, CAST(sum(CASE WHEN recovered THEN 1 ELSE 0 END) AS BIGINT) AS recovered, count(*) AS declared FROM ev GROUP BY ALL",
 }
 
-ROWS_ONLY = ("graph_tips", "graph_bubbles", "amplicon_dedup", "spcr_products", "spcr_results")
+ROWS_ONLY = ("graph_tips", "spcr_products", "spcr_threaded", "spcr_results")
 QUERIES = {name: globals()[name] for name in (*SQL, *ROWS_ONLY)}

@@ -14,7 +14,9 @@ from kmerspark.functions.sequences import revcomp
 from kmerspark.operators.prefix import with_offsets
 
 READ_LENGTH, STEP = 150, 132
-PRIMER_LENGTH, AMPLICON = 18, 150
+PRIMER_LENGTH = 18
+#: Templates of a graph gene: those whose number has one rest.
+GRAPH_GENES = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,20 +61,20 @@ def mates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, dna) of the benchmark passages that are long enough for an amplicon."""
-    return table(spark, sf_dir, "benchmark").select("item_id", dna().alias("dna")).where(F.length("dna") >= AMPLICON)
+    """(item_id, dna) of the benchmark passages that have room for two primers."""
+    return table(spark, sf_dir, "benchmark").select("item_id", dna().alias("dna")).where(F.length("dna") >= 2 * PRIMER_LENGTH)
 
 
 def primers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(gene, forward_seq, reverse_seq, max_length): a pair of primers for each template.
+    """(gene, forward_seq, reverse_seq, max_length): primers at both ends of each template.
 
     The fifth base of each primer is widened to the ambiguity code of its kind (R or Y).
     """
     def widen(seq):
         return F.concat(F.substring(seq, 1, 4), F.translate(F.substring(seq, 5, 1), "ACGTN", "RYRYN"), F.substring(seq, 6, PRIMER_LENGTH - 5))
 
-    rows = templates(spark, sf_dir).select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("gene"), F.substring("dna", 1, PRIMER_LENGTH).alias("f"), revcomp(F.substring("dna", AMPLICON - PRIMER_LENGTH + 1, PRIMER_LENGTH)).alias("r"))
-    return rows.select("gene", widen(F.col("f")).alias("forward_seq"), widen(F.col("r")).alias("reverse_seq"), F.lit(2 * AMPLICON).alias("max_length"))
+    rows = templates(spark, sf_dir).select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("gene"), F.substring("dna", 1, PRIMER_LENGTH).alias("f"), revcomp(F.substring("dna", -PRIMER_LENGTH, PRIMER_LENGTH)).alias("r"), (2 * F.length("dna")).alias("most"))
+    return rows.select("gene", widen(F.col("f")).alias("forward_seq"), widen(F.col("r")).alias("reverse_seq"), F.col("most").alias("max_length"))
 
 
 def numbered_by(frame: DataFrame, *order: str) -> DataFrame:
