@@ -9,6 +9,7 @@ from __future__ import annotations
 import glob
 import gzip
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,8 +69,9 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        path = self.options["path"]
-        found = sorted(glob.glob(os.path.join(path, "*")) if os.path.isdir(path) else glob.glob(path))
+        path = re.sub("^file:(//)?", "", self.options["path"])
+        # of a folder, not the marks that writers leave in it
+        found = sorted(p for p in glob.glob(os.path.join(path, "*")) if os.path.basename(p)[0] not in "._") if os.path.isdir(path) else sorted(glob.glob(path))
         if not found:
             raise FileNotFoundError(path)
         return [_File(p) for p in found]
@@ -116,12 +118,17 @@ def _file_order():
 
 
 def read_paired(spark: SparkSession, first: str, second: str, max_reads: int = 0, validate_every: int = 0) -> DataFrame:
-    """(read_id, mate, seq): mates in turn; what one file has beyond the other is dropped."""
+    """(read_id, mate, seq): mates in turn, up to the end of the shorter file.
+
+    Where that is R2, the R1 read before it was found to end stays, as the last one; no more is read.
+    """
     pairs = -(-max_reads // 2)
     sides = [read(spark, [p], pairs, validate_every) for p in (first, second)]
-    both = sides[0].join(sides[1].select(F.col("read_id"), F.col("seq").alias("_other")), "read_id")
+    second_side = sides[1].select("read_id", F.col("seq").alias("_other"))
+    ends = F.broadcast(sides[1].agg(F.count("*").alias("_n")))
+    both = sides[0].join(second_side, "read_id", "left").join(ends, F.col("read_id") <= F.col("_n"))
     each = F.explode(F.array(F.struct(F.lit(0).alias("m"), F.col("seq").alias("seq")), F.struct(F.lit(1).alias("m"), F.col("_other").alias("seq")))).alias("r")
-    return both.select("read_id", each).select((F.col("read_id") * 2 + F.col("r.m")).alias("read_id"), F.when(F.col("r.m") == 0, "R1").otherwise("R2").alias("mate"), "r.seq")
+    return both.select("read_id", each).select((F.col("read_id") * 2 + F.col("r.m")).alias("read_id"), F.when(F.col("r.m") == 0, "R1").otherwise("R2").alias("mate"), "r.seq").where("seq is not null")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

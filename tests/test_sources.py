@@ -29,7 +29,11 @@ def test_gzip_by_its_first_bytes(tmp_path):
 def test_pairs_end_with_the_shorter_file(spark, tmp_path):
     a, b = write(tmp_path / "1.fastq", ["AA", "CC", "GG"]), write(tmp_path / "2.fastq", ["TT", "AC"])
     got = [tuple(r) for r in fastq.read_paired(spark, a, b).orderBy("read_id").collect()]
-    assert got == [(0, "R1", "AA"), (1, "R2", "TT"), (2, "R1", "CC"), (3, "R2", "AC")]
+    # the R1 that was read before R2 was found to end
+    assert got == [(0, "R1", "AA"), (1, "R2", "TT"), (2, "R1", "CC"), (3, "R2", "AC"), (4, "R1", "GG")]
+    got = [tuple(r) for r in fastq.read_paired(spark, b, a).orderBy("read_id").collect()]
+    assert got == [(0, "R1", "TT"), (1, "R2", "AA"), (2, "R1", "AC"), (3, "R2", "CC")]
+    assert fastq.read_paired(spark, a, b, 3).count() == 4
 
 
 @pytest.mark.parametrize("text", [">a\nACGT\n", "a\nAC\n+\nII\n", "@a\nAC\n-\nII\n", "@a\nACG\n+\nII\n", "@a\nAC\n"])
