@@ -37,7 +37,7 @@ def _named(spark, sf_dir):
 
 
 def panel_rules(spark, sf_dir):
-    return panels.rule_errors(_named(spark, sf_dir)).select("panel", "gene", "region", "index", F.concat_ws("; ", "errors").alias("errors"))
+    return panels.rule_errors(_named(spark, sf_dir)).select("panel", "gene", F.coalesce("region", F.lit("")).alias("region"), F.coalesce("index", F.lit(0)).alias("index"), F.concat_ws("; ", "errors").alias("errors"))
 
 
 def panel_names(spark, sf_dir):
@@ -94,7 +94,7 @@ _NAMED = """nm AS (SELECT 'p' || CAST(item_id % 2 AS VARCHAR) AS panel, 'g' || C
 SQL = {
     "panel_primers": f"WITH {_PUBLISHED} SELECT panel || '_' || gene || coalesce('-' || region, '') || coalesce('_' || CAST(idx AS VARCHAR), '') AS gene, forward_seq, reverse_seq, min_length, max_length, min_count, mismatches, trim, {DEFAULTS['dedup_edit_threshold']} AS dedup_edit_threshold FROM pub",
     "panel_list": f"WITH {_PUBLISHED}, v AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{v}', '{c}')" for n, (v, c) in published_primers.CLADES.items()) + ") t(panel, version, clade)) SELECT panel, version, clade, CAST(count(*) AS INTEGER) AS n_pairs FROM v JOIN pub USING (panel) GROUP BY ALL",
-    "panel_rules": f"""WITH {_NAMED} SELECT panel, gene, region, "index", array_to_string(list_filter([CASE WHEN contains(gene, '_') THEN 'underscore in gene' END, CASE WHEN region IS NOT NULL AND contains(gene, '-') THEN 'hyphen in gene with a region' END, CASE WHEN contains(region, '_') THEN 'underscore in region' END, CASE WHEN count(*) OVER (PARTITION BY panel, gene, region, "index") > 1 THEN 'repeated gene, region and index' END], lambda x: x IS NOT NULL), '; ') AS errors FROM nm""",
+    "panel_rules": f"""WITH {_NAMED} SELECT panel, gene, coalesce(region, '') AS region, coalesce("index", 0) AS "index", array_to_string(list_filter([CASE WHEN contains(gene, '_') THEN 'underscore in gene' END, CASE WHEN region IS NOT NULL AND contains(gene, '-') THEN 'hyphen in gene with a region' END, CASE WHEN contains(region, '_') THEN 'underscore in region' END, CASE WHEN count(*) OVER (PARTITION BY panel, gene, region, "index") > 1 THEN 'repeated gene, region and index' END], lambda x: x IS NOT NULL), '; ') AS errors FROM nm""",
     "panel_names": f"""WITH {_NAMED} SELECT panel, gene || coalesce('-' || region, '') || coalesce('_' || CAST("index" AS VARCHAR), '') AS name FROM nm""",
     "primer_collect": f"WITH {SQL_PAIRS}, c AS (SELECT 'n' || CAST(item_id % 7 AS VARCHAR) AS gene, CAST(greatest(item_id % 4 + 1, 3) AS INTEGER) AS m FROM pairs) SELECT gene, count(*) AS n, min(m) AS least, max(m) AS most FROM c GROUP BY gene HAVING count(*) > 1",
     "inline_primers": f"WITH {SQL_PAIRS} SELECT gene AS name, forward_seq, reverse_seq, CAST(2 * length(dna) AS INTEGER) AS max_length, " + ", ".join(f"{v} AS {c}" for c, v in DEFAULTS.items() if c != "max_length") + " FROM pairs",
