@@ -8,14 +8,14 @@ node whatever their number. The result is a row for each document: the class it
 1. Tokens that many documents hold are found and put last in the global token order; the
    others stand in the order of their hash. The table of frequent tokens is bounded: a
    token must be in at least 1/5000 of the documents to be in it.
-2. Each node posts the head of its ordered set: the first ``SKETCH`` rare tokens, or the
-   whole prefix that the threshold demands if that is no longer, or if over a tenth of its
-   tokens are frequent. Prefixes miss no pair. As the order of rare tokens is random, the
-   posted ones that two sets share are a random sample of all they share; a pair is a
-   candidate if it shares no fewer than ``DEVIATIONS`` standard deviations below what a pair
-   at the threshold would (a chance of about 2e-4 to lose a pair just at the threshold, and
-   far below 1e-6 for one ten points above it). Verified sets are compared by 48 bits of
-   each token. Nothing else is approximate.
+2. Tokens that a single node holds link nothing. Each node sends its rare tokens (32 bits of
+   each, to tasks by the others), and gets back those that another node holds too; frequent
+   ones count as such. A node whose tokens so shared are fewer than any partner must have in
+   common with it has none. Every other node posts the prefix of its shared tokens that the
+   threshold demands, so no pair is missed: if a set of ``size`` tokens leaves ``left`` =
+   ceil(threshold * size) - 1 shared ones unposted, two sets at the threshold meet in at
+   least the overlap required less the greater ``left``, and pairs that meet less often are
+   no candidates. Tokens and nodes are compared by 48 bits; nothing else is approximate.
    Sets over ``SHORT`` tokens that agree in one of ``BANDS`` bands of least tokens (rare ones,
    unless most of the set is frequent) are joined beforehand: the index then skips pairs
    inside such a group, which step 4 verifies whole, so that its size enters the index
@@ -41,11 +41,13 @@ all pairs count. An empty table gives an empty result. Extra columns are ignored
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -56,8 +58,6 @@ from kmerspark.session import checkpointed
 NGRAM = 3
 #: The valley between edited copies and documents that merely share a passage.
 THRESHOLD = 0.4
-SKETCH = 48
-DEVIATIONS = 3.5
 SHORT = 80
 #: Bands of least rare tokens, and tokens a band, by which sets are joined before the index is read.
 BANDS, BAND_TOKENS = 6, 3
@@ -67,6 +67,11 @@ FREQUENT_SHARE = 5000
 FREQUENT_LEAST = 50
 TASK_EDGES = 500_000
 TASK_POSTINGS = 250_000
+#: Bytes of text whose tokens one task compares, and tokens of the rows that are sent together.
+TASK_TEXT = 16_000_000
+CHUNK_TOKENS = 1_000_000
+#: The number that stands before the frequent tokens in the order; rare ones have that of their task.
+LAST = 65_535
 #: Pairs of a task that are held at once.
 HELD_PAIRS = 300_000
 LIST_SPLIT = 50_000
@@ -78,6 +83,19 @@ COPIES_BROADCAST = 1_000_000
 MEMBERS_BROADCAST = 4_000_000
 
 
+def _trimmed(run):
+    """``run`` (of mapInArrow), after which the worker, which stays for other tasks, gives back what memory it has freed."""
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+        if trim:
+            trim(0)
+
+    return call
+
+
 def text_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct n-gram hashes) of each text that has a word."""
     data, offsets = string_buffers(pc.utf8_lower(texts))
@@ -149,7 +167,7 @@ def frequent_tokens(docs: DataFrame, n: int, share: int = FREQUENT_SHARE, least:
     # the number of rows comes from the file footers, or a narrow scan
     rows = docs.count()
     bound = max(least, rows // share)
-    counted = docs.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(_trimmed(run), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     found = counted.where(F.col("n") >= bound).toPandas()
     tokens, counts = found["token"].to_numpy(dtype=np.int64).view(U64), found["n"].to_numpy(dtype=np.int64)
     order = np.argsort(tokens)
@@ -173,32 +191,34 @@ class _Frequent:
                 out[maybe] = self.tokens[at] == tokens[maybe]
         return out
 
+    def places(self, tokens: np.ndarray) -> np.ndarray:
+        """Where each of some frequent tokens stands among them."""
+        return np.searchsorted(self.tokens, tokens)
+
+
+def frequent_names(places: np.ndarray) -> np.ndarray:
+    """What frequent tokens are called in the index; these stand behind all rare ones."""
+    return U64(LAST) << U64(48) | places.astype(U64) << U64(16)
+
 
 def required_overlap(size_a, size_b, threshold: float):
     """Least overlap of two sets that reaches the threshold."""
     return np.ceil(np.round(threshold / (1 + threshold) * (size_a + size_b), 9)).astype(np.int64)
 
 
-def head_of(tokens: np.ndarray, often: np.ndarray, threshold: float, sketch: int = SKETCH) -> np.ndarray:
-    """The tokens to post, in order: the prefix, or the lowest ones of a set of rare tokens."""
-    prefix = len(tokens) - int(np.ceil(round(threshold * len(tokens), 9))) + 1
-    whole = prefix <= sketch or 10 * int(often.sum()) > len(tokens)
-    ordered = np.concatenate([tokens[~often], tokens[often]])
-    return ordered[: prefix if whole else sketch]
+def least_own(size, threshold: float):
+    """Least overlap of a set with any partner."""
+    return np.ceil(np.round(threshold * np.asarray(size), 9)).astype(np.int64)
 
 
-def least_shared(size_a, rare_a, posted_a, size_b, rare_b, posted_b, threshold: float) -> np.ndarray:
-    """How many posted tokens two sets at the threshold share, ``DEVIATIONS`` below the mean.
+def least_met(size_a, size_b, threshold: float) -> np.ndarray:
+    """How many posted tokens two sets at the threshold have in common at least.
 
-    The posted rare tokens of a set are those with the lowest hashes, a share f of its rare
-    ones, so each token that both sets hold is posted by both with a probability of the
-    lesser f. At least the overlap required less the frequent tokens of either set is rare.
+    Of their common tokens, which stand in one order, a set leaves no more unposted than it
+    leaves of all; those before are posted by both.
     """
-    overlap = required_overlap(size_a, size_b, threshold)
-    rare_overlap = np.maximum(overlap - np.minimum(size_a - rare_a, size_b - rare_b), 0)
-    share = np.minimum(np.minimum(posted_a, rare_a) / np.maximum(rare_a, 1), np.minimum(posted_b, rare_b) / np.maximum(rare_b, 1))
-    mean = rare_overlap * share
-    return np.maximum(np.floor(mean - DEVIATIONS * np.sqrt(mean * (1 - share))), 1).astype(np.int32)
+    left = np.maximum(least_own(size_a, threshold), least_own(size_b, threshold)) - 1
+    return np.maximum(required_overlap(size_a, size_b, threshold) - left, 1).astype(np.int32)
 
 
 def bands_of(tokens: np.ndarray) -> list[int | None]:
@@ -216,41 +236,193 @@ def bands_of(tokens: np.ndarray) -> list[int | None]:
     return [k if good else None for k, good in zip(key.view(np.int64).tolist(), whole.tolist())]
 
 
-def row_sets(docs: DataFrame, frequent: np.ndarray, n: int, threshold: float) -> DataFrame:
-    """(node, doc_id, size, rare, posted, tokens, bands): one row per row of ``docs``, in place.
+def _planes(column: np.ndarray, width: int) -> bytes:
+    """The low bytes of numbers, those of one place together."""
+    return column.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-    ``node`` is null for a text without a set. ``rare`` counts the tokens that are not
-    frequent. ``tokens`` holds the ``posted`` head of the ordered set; of a set of at most
-    ``SHORT`` tokens, all of it.
-    """
+
+def _run_blob(nodes: np.ndarray, counts: np.ndarray, tokens: np.ndarray) -> bytes:
+    """Tokens (32 bits) in runs, one of each node (48 bits)."""
+    return np.uint32(len(nodes)).tobytes() + _planes(nodes, 6) + _planes(counts, 4) + tokens.astype("<u4").tobytes()
+
+
+def _run_unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    runs = int(np.frombuffer(blob, "<u4", 1)[0])
+    wide = np.zeros((runs, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * runs, 4).reshape(6, runs).T
+    counts = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * runs, 4 + 6 * runs).reshape(4, runs).T).view("<u4").ravel()
+    return wide.view("<u8").ravel(), counts.astype(np.int64), np.frombuffer(blob, "<u4", -1, 4 + 10 * runs)
+
+
+#: The node key by which runs name a set.
+NODE_MASK = U64(2**48 - 1)
+_SENT = "part int, bucket int, chunk bigint, data binary"
+
+
+def _sent_tokens(docs: DataFrame, frequent: np.ndarray, n: int, buckets: int) -> DataFrame:
+    """(part, bucket, chunk, data): runs of rare tokens by bucket, and at bucket -1 what else is known of the chunk's rows."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = _Frequent(shared.value)
+        chunk = TaskContext.get().partitionId() << 32
+
+        def send(ids: pa.Array, found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            keys, sizes, whole, common, bands = ([None] * len(ids) for _ in range(5))
+            nodes, counts, rare = [], [], []
+            seen: set[int] = set()
+            for row, tokens in found:
+                keys[row], sizes[row] = key, _ = set_key(tokens), len(tokens)
+                if key in seen:
+                    continue
+                seen.add(key)
+                mask = often.mask(tokens)
+                few = tokens[~mask]
+                common[row] = often.places(tokens[mask]).astype("<u4").tobytes()
+                if len(tokens) <= SHORT:
+                    whole[row] = pack_tokens(tokens)
+                else:
+                    # of a set of frequent tokens, all count: it is one of a large group of near copies
+                    bands[row] = bands_of(tokens if 2 * len(few) < len(tokens) else few)
+                nodes.append(key)
+                counts.append(len(few))
+                rare.append(few)
+            about = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), ids, pa.array(sizes, pa.int32()), pa.array(whole, pa.binary()), pa.array(common, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["node", "doc_id", "size", "whole", "common", "bands"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, about.schema) as writer:
+                writer.write_batch(about)
+            parts, blobs = [-1], [sink.getvalue().to_pybytes()]
+            if sum(counts):
+                tokens = np.concatenate(rare)
+                # the tokens of a set are in order, and so are their buckets
+                bucket = ((tokens >> U64(32)) * U64(buckets) >> U64(32)).astype(np.uint16)
+                order = np.argsort(bucket, kind="stable")
+                bucket, tokens, own = bucket[order], tokens[order] & U64(2**32 - 1), np.repeat(np.arange(len(nodes)), counts)[order]
+                runs = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (own[1:] != own[:-1])))
+                length = np.diff(np.append(runs, len(tokens)))
+                of = np.array(nodes, dtype=np.int64).view(U64)[own[runs]] & NODE_MASK
+                first = np.flatnonzero(np.append(True, bucket[runs][1:] != bucket[runs][:-1]))
+                for a, b in zip(first.tolist(), np.append(first[1:], len(runs)).tolist()):
+                    parts.append(int(bucket[runs[a]]))
+                    blobs.append(_run_blob(of[a:b], length[a:b], tokens[runs[a] : runs[b - 1] + length[b - 1]]))
+            return pa.RecordBatch.from_arrays([pa.array([p if p >= 0 else chunk % buckets for p in parts], pa.int32()), pa.array(parts, pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "bucket", "chunk", "data"])
+
         for batch in batches:
-            for part in range(0, batch.num_rows, 5000):
-                piece = batch.slice(part, 5000)
-                keys, sizes, rares, posted, packed, bands = ([None] * len(piece) for _ in range(6))
+            for start in range(0, batch.num_rows, 4000):
+                piece = batch.slice(start, 4000)
+                ids, found, size, low = piece.column("doc_id"), [], 0, 0
                 for row, tokens in text_sets(piece.column("text"), n):
-                    mask = often.mask(tokens)
-                    head = head_of(tokens, mask, threshold)
-                    keys[row], sizes[row], rares[row], posted[row] = set_key(tokens), len(tokens), len(tokens) - int(mask.sum()), len(head)
-                    packed[row] = pack_tokens(np.concatenate([tokens[~mask], tokens[mask]]) if len(tokens) <= SHORT else head)
-                    # of a set of frequent tokens, all count: it is one of a large group of near copies
-                    bands[row] = bands_of(tokens if 2 * int(mask.sum()) > len(tokens) else tokens[~mask]) if len(tokens) > SHORT else None
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), piece.column("doc_id"), *(pa.array(c, pa.int32()) for c in (sizes, rares, posted)), pa.array(packed, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["node", "doc_id", "size", "rare", "posted", "tokens", "bands"])
+                    if size > CHUNK_TOKENS:
+                        yield send(ids.slice(low, row - low), found)
+                        chunk, found, size, low = chunk + 1, [], 0, row
+                    found.append((row - low, tokens))
+                    size += len(tokens)
+                yield send(ids.slice(low), found)
+                chunk += 1
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_trimmed(run), _SENT)
+
+
+def _tokens_held_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the runs of tokens, those tokens that two nodes hold; all else as it comes."""
+    about, blobs = [], []
+    for batch in batches:
+        for bucket, chunk, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "data"))):
+            if bucket < 0:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], names=["part", "bucket", "chunk", "data"])
+            else:
+                about.append((bucket, chunk))
+                blobs.append(data)
+    if not blobs:
+        return
+    nodes, counts, tokens = zip(*map(_run_unblob, blobs))
+    blobs.clear()
+    key = np.concatenate([t.astype(U64) | U64(b) << U64(32) for (b, _), t in zip(about, tokens)])
+    node = np.concatenate([np.repeat(v, c) for v, c in zip(nodes, counts)])
+    order = np.argsort(key)
+    key, node = key[order], node[order]
+    same = key[1:] == key[:-1]
+    group = np.append(0, np.cumsum(~same))
+    twice = np.zeros(group[-1] + 1, dtype=bool)
+    twice[group[1:][same & (node[1:] != node[:-1])]] = True
+    held = np.empty(len(key), dtype=bool)
+    held[order] = twice[group]
+    del key, node, order, same, group, twice
+    at = 0
+    for (bucket, chunk), v, c, t in zip(about, nodes, counts, tokens):
+        good = held[at : at + len(t)]
+        at += len(t)
+        left = np.add.reduceat(good, np.cumsum(c) - c, dtype=np.int64)
+        data = _run_blob(v[left > 0], left[left > 0], t[good])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], names=["part", "bucket", "chunk", "data"])
+
+
+def _chunk_rows(about: pa.RecordBatch, answers: list[tuple[int, bytes]], threshold: float) -> pa.RecordBatch:
+    """The rows of a chunk, with the prefixes of their shared tokens."""
+    size = pc.fill_null(about.column("size"), 0).to_numpy().astype(np.int64)
+    common = [(i, np.frombuffer(c, "<u4")) for i, c in enumerate(about.column("common").to_pylist()) if c is not None]
+    sender = np.array([i for i, _ in common], dtype=np.int64)
+    rows, names = [np.repeat(sender, [len(c) for _, c in common])], [frequent_names(np.concatenate([c for _, c in common]))] if common else [np.zeros(0, U64)]
+    known = pc.fill_null(about.column("node"), 0).to_numpy()[sender].view(U64) & NODE_MASK
+    by = np.argsort(known)
+    for bucket, data in answers:
+        node, count, tokens = _run_unblob(data)
+        if len(node):
+            at = by[np.minimum(np.searchsorted(known[by], node), len(by) - 1)]
+            if (known[at] != node).any():
+                raise RuntimeError("a chunk of documents was read twice with different rows")
+            rows.append(np.repeat(sender[at], count))
+            names.append(U64(bucket) << U64(48) | tokens.astype(U64) << U64(16))
+    row, name = np.concatenate(rows), np.concatenate(names)
+    order = np.lexsort((name, row))
+    name = name[order]
+    held = np.bincount(row, minlength=len(size)).astype(np.int64)
+    posted = np.where(held > 0, np.maximum(held - least_own(size, threshold) + 1, 0), 0)
+    start = np.cumsum(held) - held
+    heads = [pack_tokens(name[a : a + p]) if p else None for a, p in zip(start.tolist(), posted.tolist())]
+    return pa.RecordBatch.from_arrays([about.column("node"), about.column("doc_id"), about.column("size"), *(pa.array(c.astype(np.int32)) for c in (held, posted)), pa.array(heads, pa.binary()), about.column("whole"), about.column("bands")], names=["node", "doc_id", "size", "held", "posted", "tokens", "whole", "bands"])
+
+
+def row_sets(docs: DataFrame, frequent: np.ndarray, n: int, threshold: float) -> DataFrame:
+    """(node, doc_id, size, held, posted, tokens, whole, bands): one row per row of ``docs``.
+
+    ``node`` is null for a text without a set. ``held`` counts the tokens that other nodes
+    hold too, ``tokens`` is the ``posted`` head of these, in the order of the index; of a
+    set of at most ``SHORT`` tokens, ``whole`` has all. Of the copies of a set, not every one
+    has more than its node and size.
+    """
+    amount = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(max(1, -(-amount // TASK_TEXT)), LAST)
+    answers = _sent_tokens(docs, frequent, n, buckets).repartitionById(buckets, F.col("part")).mapInArrow(_trimmed(_tokens_held_twice), _SENT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, about = None, [], None
+        for batch in batches:
+            for bucket, chunk, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "data"))):
+                if chunk != current:
+                    if about is not None:
+                        yield _chunk_rows(about, held, threshold)
+                    current, held, about = chunk, [], None
+                if bucket < 0:
+                    about = pa.ipc.open_stream(data).read_next_batch()
+                else:
+                    held.append((bucket, data))
+        if about is not None:
+            yield _chunk_rows(about, held, threshold)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "node bigint, doc_id bigint, size int, rare int, posted int, tokens binary, bands array<bigint>")
+    grouped = answers.drop("part").repartition("chunk").sortWithinPartitions("chunk")
+    return grouped.mapInArrow(_trimmed(run), "node bigint, doc_id bigint, size int, held int, posted int, tokens binary, whole binary, bands array<bigint>")
 
 
-def list_pairs(size: np.ndarray, position: np.ndarray, threshold: float, block: int = LIST_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def list_pairs(size: np.ndarray, position: np.ndarray, threshold: float, block: int = LIST_BLOCK, held: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one token's list (sorted by size) that pass the size and position filters.
 
     Two sets that share the token share at most the lesser number of tokens before it and
     the lesser number from it on. Blocks are skipped as wholes: by size, as the list is
-    sorted, and by position, where that bound is below the least overlap required.
+    sorted, and by position, where that bound is below the least overlap required. ``held``:
+    how many tokens of each set count, if not all.
     """
-    rest = size - position
+    rest = (size if held is None else held) - position
     starts = np.arange(0, len(size), block)
     low, high = size[starts], size[np.minimum(starts + block, len(size)) - 1]
     most, before = np.maximum.reduceat(rest, starts), np.maximum.reduceat(position, starts)
@@ -289,12 +461,12 @@ def band_groups(rows: DataFrame) -> DataFrame:
             other = ids != leaders
             yield pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(leaders[other])], names=["a", "b"])
 
-    joined = each.repartition("band").sortWithinPartitions("band", "node").mapInArrow(stars, "a bigint, b bigint")
+    joined = each.repartition("band").sortWithinPartitions("band", "node").mapInArrow(_trimmed(stars), "a bigint, b bigint")
     return connected_components(joined)
 
 
-#: Columns of a posting: token (its high 48 bits), node, comp xor node, size, rare, posted, block, position.
-POSTING = ("6", "<i8", "<i8", "<i4", "<i4", "<i4", "<u2", "<u2")
+#: Columns of a posting: token (its high 48 bits), node, comp xor node, size, held, block, position.
+POSTING = ("6", "<i8", "<i8", "<i4", "<i4", "<u2", "<u2")
 #: Columns of a pair: a, b, what it needs, how often it was met.
 PAIR = ("<i8", "<i8", "<i4", "<u2")
 
@@ -375,10 +547,10 @@ def _postings(rows: DataFrame, tasks: int, long_lists: dict[int, int]) -> DataFr
                 order = np.argsort(task, kind="stable")
                 task, row = task[order], row[order]
                 comp = part.column("comp").to_numpy()
-                columns = [*(part.column(c).to_numpy()[row] for c in ("size", "rare", "posted")), block[order], np.minimum(position[order], 65535)]
+                columns = [*(part.column(c).to_numpy()[row] for c in ("size", "held")), block[order], np.minimum(position[order], 65535)]
                 yield _blobs("task", task, [token[order], node[row], comp[row] ^ node[row], *columns], POSTING)
 
-    return rows.where("node is not null").select("node", "size", "rare", "posted", "tokens", "comp").mapInArrow(run, "task int, data binary")
+    return rows.where("posted > 0").select("node", "size", "held", "posted", "tokens", "comp").mapInArrow(_trimmed(run), "task int, data binary")
 
 
 def with_groups(rows: DataFrame, groups: DataFrame, most: int = MEMBERS_BROADCAST) -> DataFrame:
@@ -400,11 +572,11 @@ def with_groups(rows: DataFrame, groups: DataFrame, most: int = MEMBERS_BROADCAS
                 own = np.where(known[at] == node, comp[at], node)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "comp"])
 
-    return rows.where("node is not null").mapInArrow(run, StructType([*rows.schema.fields, StructField("comp", LongType())]))
+    return rows.where("node is not null").mapInArrow(_trimmed(run), StructType([*rows.schema.fields, StructField("comp", LongType())]))
 
 
 def candidates(rows: DataFrame, threshold: float, long_lists: dict[int, int] | None = None) -> DataFrame:
-    """(a, b, small) with a < b: node pairs that share enough posted tokens; small: both are short.
+    """(a, b, small) with a < b: all node pairs that meet in enough posted tokens; small: both are short.
 
     Pairs of one ``comp`` are left out, as that is verified whole. Positions past 65,535 count as that, which only weakens their filter.
     """
@@ -421,14 +593,14 @@ def candidates(rows: DataFrame, threshold: float, long_lists: dict[int, int] | N
             held.append(_unblob(batch.column("data").to_pylist(), POSTING))
         if not held:
             return
-        token, node, comp, size, rare, posted, block, position = (np.concatenate(c) for c in zip(*held))
+        token, node, comp, size, own, block, position = (np.concatenate(c) for c in zip(*held))
         comp, position = comp ^ node, position.astype(np.int64)
         held.clear()
         order = np.lexsort((node, size, token))
         # copies of a set that several tasks posted
         once = np.append(True, (token[order][1:] != token[order][:-1]) | (node[order][1:] != node[order][:-1]))
         order = order[once]
-        token, position, node, size, rare, posted, block, comp = (c[order] for c in (token, position, node, size, rare, posted, block, comp))
+        token, position, node, size, own, block, comp = (c[order] for c in (token, position, node, size, own, block, comp))
         edges = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         lengths = np.diff(np.append(edges, len(token)))
         # a list of two cuts gives the pairs across them; those inside a cut have their own
@@ -443,7 +615,7 @@ def candidates(rows: DataFrame, threshold: float, long_lists: dict[int, int] | N
             first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
             counts = np.minimum(np.diff(np.append(first, len(a))), 65535)
             a, b, p, q, bucket = (x[first] for x in (a, b, p, q, bucket))
-            need = least_shared(*(c[x].astype(np.int64) for x in (p, q) for c in (size, rare, posted)), threshold)
+            need = least_met(size[p].astype(np.int64), size[q].astype(np.int64), threshold)
             fact = need * 2 + (np.maximum(size[p], size[q]) <= SHORT)
             return _blobs("bucket", bucket, [a, b, fact, counts], PAIR)
 
@@ -451,13 +623,13 @@ def candidates(rows: DataFrame, threshold: float, long_lists: dict[int, int] | N
         pairs = lengths == 2  # most lists that matter have two postings: all at once
         if pairs.any():
             i = edges[pairs]
-            good = np.minimum(size[i] - position[i], size[i + 1] - position[i + 1]) + np.minimum(position[i], position[i + 1]) >= required_overlap(size[i], size[i + 1], threshold)
+            good = np.minimum(own[i] - position[i], own[i + 1] - position[i + 1]) + np.minimum(position[i], position[i + 1]) >= required_overlap(size[i], size[i + 1], threshold)
             good &= ((block[i] != block[i + 1]) | ~crossing[pairs]) & (comp[i] != comp[i + 1])
             left.append(i[good])
             right.append(i[good] + 1)
         pending = sum(map(len, left))
         for start, length, across in zip(edges[lengths > 2], lengths[lengths > 2], crossing[lengths > 2]):
-            for p, q in list_pairs(size[start : start + length], position[start : start + length], threshold):
+            for p, q in list_pairs(size[start : start + length], position[start : start + length], threshold, held=own[start : start + length]):
                 apart = comp[start + p] != comp[start + q]
                 if across:
                     apart &= block[start + p] != block[start + q]
@@ -471,7 +643,7 @@ def candidates(rows: DataFrame, threshold: float, long_lists: dict[int, int] | N
         if pending:
             yield pack(np.concatenate(left), np.concatenate(right))
 
-    found = lists.mapInArrow(run, "bucket int, data binary").repartitionById(buckets, F.col("bucket"))
+    found = lists.mapInArrow(_trimmed(run), "bucket int, data binary").repartitionById(buckets, F.col("bucket"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -497,7 +669,7 @@ def candidates(rows: DataFrame, threshold: float, long_lists: dict[int, int] | N
             good = total >= fact // 2
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(fact[good] % 2 == 1)], names=["a", "b", "small"])
 
-    return found.mapInArrow(count, "a bigint, b bigint, small boolean")
+    return found.mapInArrow(_trimmed(count), "a bigint, b bigint, small boolean")
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -536,7 +708,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, task_edges: in
     rows = edges.count()
     while True:
         tasks = max(1, -(-rows // task_edges))
-        edges = checkpointed(edges.repartition(tasks, "v").mapInArrow(_forest, "u bigint, v bigint"))
+        edges = checkpointed(edges.repartition(tasks, "v").mapInArrow(_trimmed(_forest), "u bigint, v bigint"))
         if tasks == 1:
             return _labels(edges)
         left = edges.count()
@@ -698,7 +870,7 @@ def _verified(docs: DataFrame, components: DataFrame, n: int, threshold: float,
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([pack_tokens(values[i]) for i in at], pa.binary())], names=[*names, "tokens"])
 
     names = ["group", "node", "block"] if placing is not None else ["node"]
-    whole = docs.select("text").mapInArrow(sets, ", ".join([*({"group": "group bigint", "node": "node bigint", "block": "block int"}[c] for c in names), "tokens binary"]))
+    whole = docs.select("text").mapInArrow(_trimmed(sets), ", ".join([*({"group": "group bigint", "node": "node bigint", "block": "block int"}[c] for c in names), "tokens binary"]))
     if placing is None:
         whole = whole.join(members, "node")
     grouped = whole.repartition("group").sortWithinPartitions("group", "node").select("group", "node", "block", "tokens")
@@ -723,13 +895,13 @@ def _verified(docs: DataFrame, components: DataFrame, n: int, threshold: float,
         if held:
             yield emit()
 
-    return grouped.mapInArrow(verify, "node bigint, root bigint, links bigint")
+    return grouped.mapInArrow(_trimmed(verify), "node bigint, root bigint, links bigint")
 
 
 def _verified_small(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """(node, root, links) from the pairs of short sets, each set brought to each of its pairs."""
     # copies fold in each task before the shuffle
-    short = rows.where(F.col("size") <= SHORT).groupBy("node").agg(F.first("tokens").alias("tokens"))
+    short = rows.where(F.col("size") <= SHORT).groupBy("node").agg(F.first("whole", ignorenulls=True).alias("tokens"))
     both = pairs.join(short.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(short.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -745,17 +917,18 @@ def _verified_small(rows: DataFrame, pairs: DataFrame, threshold: float) -> Data
             found = group_links(ids, ((int(x), np.array([y]), None) for x, y in zip(i, j)))
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=["node", "root", "links"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "node bigint, root bigint, links bigint")
+    return both.select("a", "b", "x", "y").mapInArrow(_trimmed(run), "node bigint, root bigint, links bigint")
 
 
 def _linked(docs: DataFrame, n: int, threshold: float, list_split: int = LIST_SPLIT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows (node, doc_id), the nodes (node, least), and the links (node, comp, links) of those that have any."""
     tokens, counts = frequent_tokens(docs, n)
     rows = checkpointed(row_sets(docs, tokens, n, threshold))
-    # index tokens are their high 48 bits
-    tokens, long = tokens >> U64(16) << U64(16), counts > list_split
+    long = counts > list_split
+    names = frequent_names(np.flatnonzero(long))
     groups = checkpointed(band_groups(rows))
-    pairs = checkpointed(candidates(with_groups(rows, groups), threshold, dict(zip(tokens[long].view(np.int64).tolist(), (-(-counts[long] // list_split)).tolist()))))
+    posting = rows.where("posted > 0").select("node", "size", "held", "posted", "tokens")
+    pairs = checkpointed(candidates(with_groups(posting, groups), threshold, dict(zip(names.view(np.int64).tolist(), (-(-counts[long] // list_split)).tolist()))))
     small = _verified_small(rows, pairs.where("small"), threshold)
     joined = pairs.where("not small").select("a", "b").unionByName(groups.select(F.col("node").alias("a"), F.col("comp").alias("b")))
     large = _verified(docs, checkpointed(connected_components(joined)), n, threshold)

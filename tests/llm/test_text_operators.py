@@ -82,6 +82,19 @@ def test_join_equals_brute_force(spark, monkeypatch, seed, split):
     assert in_order(got) == in_order(brute_links(rows)[2])
 
 
+def test_a_pair_is_found_whatever_its_lowest_tokens_are(spark):
+    rng = random.Random(7)
+    passages = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(600)]
+    # by how many of their n-grams are among the lowest tenth of all hashes
+    low = [int((tokens < np.uint64(2**64 // 10)).sum()) for _, tokens in ngram_join.text_sets(pa.array(passages), 3)]
+    passages = [passages[i] for i in np.argsort(low, kind="stable")]
+    both, own, other = passages[:70], passages[-40:], passages[-80:-40]
+    rows = [(i, " ".join(p), None) for i, p in enumerate([both + own, both + other, both[:60] + own[:9], own[:5] + passages[200:240]])]
+    pairs, _, want = brute_links(rows)
+    assert len(pairs) > 1
+    assert in_order(tuple(r) for r in ngram_join.similar_documents(frame(spark, rows)).collect()) == in_order(want)
+
+
 def test_a_text_does_not_depend_on_the_empty_one_before_it():
     text = "some longer text of several words that stands here more than once"
     for middle in (None, "", " \n"):
