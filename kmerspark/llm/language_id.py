@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerspark.llm.text import U64, mix, slices, string_buffers
+from kmerspark.llm.text import U64, mix, slices, string_buffers, trimmed
 
 DIM = 4096
 ORDERS = (2, 3, 4)
@@ -196,7 +196,7 @@ def _fit_rows(sample: DataFrame) -> DataFrame:
                         out["counts"].append(vector[0][cells].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["half"], pa.int32()), pa.array(out["piece"], pa.int32()), pa.array(out["cells"], pa.binary()), pa.array(out["counts"], pa.binary())], names=list(out))
 
-    return sample.mapInArrow(run, "lang string, half int, piece int, cells binary, counts binary")
+    return sample.mapInArrow(trimmed(run), "lang string, half int, piece int, cells binary, counts binary")
 
 
 def _dense(rows: list) -> np.ndarray:
@@ -256,7 +256,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             lang, cosine, rejected = _score_texts(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _names(shared.value, lang), pa.array(cosine), pa.array(rejected)], names=["doc_id", "lang_pred", "cosine", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, cosine double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id bigint, lang_pred string, cosine double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -270,4 +270,4 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
             batch = batch.set_column(at, "lang", _names(shared.value, lang))
             yield batch.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -41,7 +41,6 @@ all pairs count. An empty table gives an empty result. Extra columns are ignored
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from kmerspark.llm.text import U64, gram_hashes, mix, slices, span_hashes, string_buffers, word_spans
+from kmerspark.llm.text import U64, gram_hashes, mix, slices, span_hashes, string_buffers, trimmed, word_spans
 from kmerspark.session import checkpointed
 
 NGRAM = 3
@@ -83,19 +82,6 @@ COPIES_BROADCAST = 1_000_000
 MEMBERS_BROADCAST = 4_000_000
 
 
-def _trimmed(run):
-    """``run`` (of mapInArrow), after which the worker, which stays for other tasks, gives back what memory it has freed."""
-
-    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
-        if trim:
-            trim(0)
-
-    return call
-
-
 def text_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct n-gram hashes) of each text that has a word."""
     data, offsets = string_buffers(pc.utf8_lower(texts))
@@ -167,7 +153,7 @@ def frequent_tokens(docs: DataFrame, n: int, share: int = FREQUENT_SHARE, least:
     # the number of rows comes from the file footers, or a narrow scan
     rows = docs.count()
     bound = max(least, rows // share)
-    counted = docs.select("text").mapInArrow(_trimmed(run), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(trimmed(run), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     found = counted.where(F.col("n") >= bound).toPandas()
     tokens, counts = found["token"].to_numpy(dtype=np.int64).view(U64), found["n"].to_numpy(dtype=np.int64)
     order = np.argsort(tokens)
@@ -320,7 +306,7 @@ def _sent_tokens(docs: DataFrame, frequent: np.ndarray, n: int, buckets: int) ->
                 yield send(ids.slice(low), found)
                 chunk += 1
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_trimmed(run), _SENT)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(trimmed(run), _SENT)
 
 
 def _tokens_held_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +379,7 @@ def row_sets(docs: DataFrame, frequent: np.ndarray, n: int, threshold: float) ->
     """
     amount = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(max(1, -(-amount // TASK_TEXT)), LAST)
-    answers = _sent_tokens(docs, frequent, n, buckets).repartitionById(buckets, F.col("part")).mapInArrow(_trimmed(_tokens_held_twice), _SENT)
+    answers = _sent_tokens(docs, frequent, n, buckets).repartitionById(buckets, F.col("part")).mapInArrow(trimmed(_tokens_held_twice), _SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, about = None, [], None
@@ -411,7 +397,7 @@ def row_sets(docs: DataFrame, frequent: np.ndarray, n: int, threshold: float) ->
             yield _chunk_rows(about, held, threshold)
 
     grouped = answers.drop("part").repartition("chunk").sortWithinPartitions("chunk")
-    return grouped.mapInArrow(_trimmed(run), "node bigint, doc_id bigint, size int, held int, posted int, tokens binary, whole binary, bands array<bigint>")
+    return grouped.mapInArrow(trimmed(run), "node bigint, doc_id bigint, size int, held int, posted int, tokens binary, whole binary, bands array<bigint>")
 
 
 def list_pairs(size: np.ndarray, position: np.ndarray, threshold: float, block: int = LIST_BLOCK, held: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -461,7 +447,7 @@ def band_groups(rows: DataFrame) -> DataFrame:
             other = ids != leaders
             yield pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(leaders[other])], names=["a", "b"])
 
-    joined = each.repartition("band").sortWithinPartitions("band", "node").mapInArrow(_trimmed(stars), "a bigint, b bigint")
+    joined = each.repartition("band").sortWithinPartitions("band", "node").mapInArrow(trimmed(stars), "a bigint, b bigint")
     return connected_components(joined)
 
 
@@ -550,7 +536,7 @@ def _postings(rows: DataFrame, tasks: int, long_lists: dict[int, int]) -> DataFr
                 columns = [*(part.column(c).to_numpy()[row] for c in ("size", "held")), block[order], np.minimum(position[order], 65535)]
                 yield _blobs("task", task, [token[order], node[row], comp[row] ^ node[row], *columns], POSTING)
 
-    return rows.where("posted > 0").select("node", "size", "held", "posted", "tokens", "comp").mapInArrow(_trimmed(run), "task int, data binary")
+    return rows.where("posted > 0").select("node", "size", "held", "posted", "tokens", "comp").mapInArrow(trimmed(run), "task int, data binary")
 
 
 def with_groups(rows: DataFrame, groups: DataFrame, most: int = MEMBERS_BROADCAST) -> DataFrame:
@@ -572,7 +558,7 @@ def with_groups(rows: DataFrame, groups: DataFrame, most: int = MEMBERS_BROADCAS
                 own = np.where(known[at] == node, comp[at], node)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "comp"])
 
-    return rows.where("node is not null").mapInArrow(_trimmed(run), StructType([*rows.schema.fields, StructField("comp", LongType())]))
+    return rows.where("node is not null").mapInArrow(trimmed(run), StructType([*rows.schema.fields, StructField("comp", LongType())]))
 
 
 def candidates(rows: DataFrame, threshold: float, long_lists: dict[int, int] | None = None) -> DataFrame:
@@ -643,7 +629,7 @@ def candidates(rows: DataFrame, threshold: float, long_lists: dict[int, int] | N
         if pending:
             yield pack(np.concatenate(left), np.concatenate(right))
 
-    found = lists.mapInArrow(_trimmed(run), "bucket int, data binary").repartitionById(buckets, F.col("bucket"))
+    found = lists.mapInArrow(trimmed(run), "bucket int, data binary").repartitionById(buckets, F.col("bucket"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -669,7 +655,7 @@ def candidates(rows: DataFrame, threshold: float, long_lists: dict[int, int] | N
             good = total >= fact // 2
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(fact[good] % 2 == 1)], names=["a", "b", "small"])
 
-    return found.mapInArrow(_trimmed(count), "a bigint, b bigint, small boolean")
+    return found.mapInArrow(trimmed(count), "a bigint, b bigint, small boolean")
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -708,7 +694,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, task_edges: in
     rows = edges.count()
     while True:
         tasks = max(1, -(-rows // task_edges))
-        edges = checkpointed(edges.repartition(tasks, "v").mapInArrow(_trimmed(_forest), "u bigint, v bigint"))
+        edges = checkpointed(edges.repartition(tasks, "v").mapInArrow(trimmed(_forest), "u bigint, v bigint"))
         if tasks == 1:
             return _labels(edges)
         left = edges.count()
@@ -870,7 +856,7 @@ def _verified(docs: DataFrame, components: DataFrame, n: int, threshold: float,
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([pack_tokens(values[i]) for i in at], pa.binary())], names=[*names, "tokens"])
 
     names = ["group", "node", "block"] if placing is not None else ["node"]
-    whole = docs.select("text").mapInArrow(_trimmed(sets), ", ".join([*({"group": "group bigint", "node": "node bigint", "block": "block int"}[c] for c in names), "tokens binary"]))
+    whole = docs.select("text").mapInArrow(trimmed(sets), ", ".join([*({"group": "group bigint", "node": "node bigint", "block": "block int"}[c] for c in names), "tokens binary"]))
     if placing is None:
         whole = whole.join(members, "node")
     grouped = whole.repartition("group").sortWithinPartitions("group", "node").select("group", "node", "block", "tokens")
@@ -895,7 +881,7 @@ def _verified(docs: DataFrame, components: DataFrame, n: int, threshold: float,
         if held:
             yield emit()
 
-    return grouped.mapInArrow(_trimmed(verify), "node bigint, root bigint, links bigint")
+    return grouped.mapInArrow(trimmed(verify), "node bigint, root bigint, links bigint")
 
 
 def _verified_small(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -917,7 +903,7 @@ def _verified_small(rows: DataFrame, pairs: DataFrame, threshold: float) -> Data
             found = group_links(ids, ((int(x), np.array([y]), None) for x, y in zip(i, j)))
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=["node", "root", "links"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(_trimmed(run), "node bigint, root bigint, links bigint")
+    return both.select("a", "b", "x", "y").mapInArrow(trimmed(run), "node bigint, root bigint, links bigint")
 
 
 def _linked(docs: DataFrame, n: int, threshold: float, list_split: int = LIST_SPLIT) -> tuple[DataFrame, DataFrame, DataFrame]:

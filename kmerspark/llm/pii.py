@@ -49,6 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kmerspark.llm.text import trimmed
 from kmerspark.operators.prefix import fresh_name
 
 DEFAULT_KEY = b"surrogate-key-v1"
@@ -374,7 +375,7 @@ def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY, count: str | None = N
             yield batch
 
     ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields)
-    return docs.mapInArrow(run, ddl + (f", `{count}` int" if count else ""))
+    return docs.mapInArrow(trimmed(run), ddl + (f", `{count}` int" if count else ""))
 
 
 def entities(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
@@ -387,7 +388,7 @@ def entities(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
             rows = [(kind, text[a:b]) for text in texts for a, b, kind in find_entities(text)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string()), pa.array([surrogates.surrogate(k, v) for k, v in rows], pa.string())], names=["type", "entity", "surrogate"])
 
-    return docs.select("text").mapInArrow(run, "type string, entity string, surrogate string").groupBy("type", "entity", "surrogate").agg(F.count("*").alias("n"))
+    return docs.select("text").mapInArrow(trimmed(run), "type string, entity string, surrogate string").groupBy("type", "entity", "surrogate").agg(F.count("*").alias("n"))
 
 
 def collisions(found: DataFrame) -> DataFrame:

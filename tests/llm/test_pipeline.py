@@ -1,6 +1,8 @@
 from collections import Counter
 
 import corpus_pipeline
+from test_text_operators import brute_links, frame, unlucky_docs
+
 from kmerspark.llm import language_id, mixing, ngram_join, pii
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +41,13 @@ def test_stages_in_order_and_columns(spark, tmp_path):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_near_copies_go_whatever_their_lowest_tokens_are(spark):
+    rows = unlucky_docs()
+    want = [d for d, c, _ in brute_links(rows)[2] if d == c]
+    kept = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == want and len(want) < len(rows)
+
+
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerspark.llm import language_id, ngram_join, pii, quality
-from kmerspark.llm.text import string_buffers
+from kmerspark.llm.text import string_buffers, trimmed
 
 DOC = "doc_id bigint, text string, lang string, size int, node string"
 
@@ -82,14 +83,19 @@ def test_join_equals_brute_force(spark, monkeypatch, seed, split):
     assert in_order(got) == in_order(brute_links(rows)[2])
 
 
-def test_a_pair_is_found_whatever_its_lowest_tokens_are(spark):
+def unlucky_docs():
+    """Pairs at the threshold that have next to none of their lowest tokens in common."""
     rng = random.Random(7)
     passages = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(600)]
     # by how many of their n-grams are among the lowest tenth of all hashes
     low = [int((tokens < np.uint64(2**64 // 10)).sum()) for _, tokens in ngram_join.text_sets(pa.array(passages), 3)]
     passages = [passages[i] for i in np.argsort(low, kind="stable")]
     both, own, other = passages[:70], passages[-40:], passages[-80:-40]
-    rows = [(i, " ".join(p), None) for i, p in enumerate([both + own, both + other, both[:60] + own[:9], own[:5] + passages[200:240]])]
+    return [(i, " ".join(p), None) for i, p in enumerate([both + own, both + other, both[:60] + own[:9], own[:5] + passages[200:240]])]
+
+
+def test_a_pair_is_found_whatever_its_lowest_tokens_are(spark):
+    rows = unlucky_docs()
     pairs, _, want = brute_links(rows)
     assert len(pairs) > 1
     assert in_order(tuple(r) for r in ngram_join.similar_documents(frame(spark, rows)).collect()) == in_order(want)
@@ -102,6 +108,23 @@ def test_a_text_does_not_depend_on_the_empty_one_before_it():
         assert set(found) == {0, 3, 4} and found[0] == found[3] == found[4]
 
 
+def test_a_finished_task_gives_back_what_it_freed():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    kept = []
+
+    def run(batches):
+        yield from batches
+        held = [np.ones(10_000) for _ in range(4000)]
+        kept.append(held[-1])  # stands above the others, so that they don't leave by themselves
+
+    before = resident()
+    assert list(trimmed(run)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 100_000_000 and len(kept) == 1
+
+
 @pytest.mark.parametrize("broadcast", [10**6, 0])
 def test_one_of_each_class_stays(spark, monkeypatch, broadcast):
     monkeypatch.setattr(ngram_join, "COPIES_BROADCAST", broadcast)
