@@ -76,7 +76,7 @@ HELD_PAIRS = 300_000
 LIST_SPLIT = 50_000
 #: Up to so many nodes, those in components are known to the scan by a Bloom filter of 16 MB.
 BLOOM_MEMBERS = 8_000_000
-#: Up to so many copies, the rows to drop are broadcast instead of shuffling the documents.
+#: Up to so many copies, the rows to drop (or the groups of sets) are broadcast instead of shuffling the documents.
 COPIES_BROADCAST = 1_000_000
 #: Up to so many members of components, the map from a set to its groups is broadcast.
 MEMBERS_BROADCAST = 4_000_000
@@ -539,26 +539,15 @@ def _postings(rows: DataFrame, tasks: int, long_lists: dict[int, int]) -> DataFr
     return rows.where("posted > 0").select("node", "size", "held", "posted", "tokens", "comp").mapInArrow(trimmed(run), "task int, data binary")
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, most: int = MEMBERS_BROADCAST) -> DataFrame:
-    """``rows`` with the group of each node in ``comp``, the node itself where it has none."""
-    held = groups.limit(most + 1).toPandas()
-    if len(held) > most:
-        joined = rows.where("node is not null").join(groups.toDF("_node", "_comp"), F.col("node") == F.col("_node"), "left")
-        return joined.withColumn("comp", F.coalesce("_comp", "node")).drop("_node", "_comp")
-    order = np.argsort(held["node"].to_numpy())
-    shared = rows.sparkSession.sparkContext.broadcast((held["node"].to_numpy(dtype=np.int64)[order], held["comp"].to_numpy(dtype=np.int64)[order]))
+def with_groups(rows: DataFrame, groups: DataFrame, most: int = COPIES_BROADCAST) -> DataFrame:
+    """``rows`` with the group of each node in ``comp``, the node itself where it has none.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, comp = shared.value
-        for batch in batches:
-            node = batch.column("node").to_numpy()
-            own = node.copy()
-            if len(known):
-                at = np.minimum(np.searchsorted(known, node), len(known) - 1)
-                own = np.where(known[at] == node, comp[at], node)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "comp"])
-
-    return rows.where("node is not null").mapInArrow(trimmed(run), StructType([*rows.schema.fields, StructField("comp", LongType())]))
+    A join, not a Python function: the next step is one, and each keeps workers of its own.
+    """
+    named = groups.toDF("_node", "_comp")
+    named = F.broadcast(named) if groups.count() <= most else named
+    joined = rows.where("node is not null").join(named, F.col("node") == F.col("_node"), "left")
+    return joined.withColumn("comp", F.coalesce("_comp", "node")).drop("_node", "_comp")
 
 
 def candidates(rows: DataFrame, threshold: float, long_lists: dict[int, int] | None = None) -> DataFrame:
