@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerspark.functions.sequences import COUNT_LIMIT, saturated, valid_bases
-from kmerspark.operators.kmers import DEFAULT_K, partial_counts
+from kmerspark.operators import tally
+from kmerspark.operators.kmers import DEFAULT_K
 
 
 def count_kmers(reads: DataFrame, k: int = DEFAULT_K, keys: tuple[str, ...] = ()) -> DataFrame:
     """(*keys, kmer, n): canonical k-mer counts, held at 2**32 - 1."""
-    return partial_counts(reads, k, keys).groupBy(*keys, "kmer").agg(saturated(F.sum("n")).alias("n"))
+    types = dict(reads.dtypes)
+    return tally.counted(reads.select(*keys, "seq"), k, ", ".join(f"{c} {types[c]}" for c in keys), tally.column_groups(keys) if keys else None)
 
 
 def merge_counts(*tables: DataFrame) -> DataFrame:
