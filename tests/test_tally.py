@@ -76,6 +76,27 @@ def test_moves_of_a_task_equal_those_by_window(spark):
     assert {(r["chunk"], r["count"]): r["delta"] for r in got if r["delta"]} == want
 
 
+@pytest.mark.parametrize("k", [5, 31])
+def test_keys_hold_all_their_rows_however_they_are_cut(spark, k):
+    rng = random.Random(k)
+    rows = [(rng.choice([None, 1, 2, 3, *range(10, 60)]), "".join(rng.choice("ACGTACGTN") for _ in range(rng.randint(0, 90)))) for _ in range(300)] + [(99, "AC"), (98, None)]
+    found = tally.by_key(spark.createDataFrame(rows, "doc_id bigint, seq string"), k, "doc_id", slice_bytes=200).collect()
+    want = {}
+    for key, seq in rows:
+        for s in plain(seq or "", k):
+            want.setdefault(key, []).append(s)
+    assert len(found) == len(want)
+    assert {r.doc_id: (r.n, r.n_distinct, r.least, r.greatest) for r in found} == {key: (len(v), len(set(v)), min(v), max(v)) for key, v in want.items()}
+
+
+def test_extract_expands_no_rows(spark):
+    import __spark_entry__
+
+    with redirect_stdout(io.StringIO()) as said:
+        __spark_entry__.queries()["kmer_extract"](spark, "/root/testdata/sf0.001").explain()
+    assert not re.search(r"Generate explode|HashAggregate", said.getvalue())
+
+
 @pytest.mark.parametrize("query", ["kmer_histogram", "kmer_histogram_moves", "kmer_counts", "kmer_counts_by_chunk", "kmer_min_count_filter", "kmer_stats"])
 def test_no_row_for_each_kmer_is_shuffled(spark, query):
     import __spark_entry__
