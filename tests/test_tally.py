@@ -104,3 +104,40 @@ def test_no_row_for_each_kmer_is_shuffled(spark, query):
     with redirect_stdout(io.StringIO()) as said:
         __spark_entry__.queries()[query](spark, "/root/testdata/sf0.001").explain()
     assert not re.search(r"hashpartitioning\([^)]*kmer", said.getvalue())
+
+
+def test_reads_cut_from_texts_equal_those_cut_by_columns(spark, tmp_path):
+    texts = ["", None, "k", "wörds " * 80, "a line of some length, read in several windows " * 9, "x" * 75, "y" * 76]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    # a text that is null has no bases
+    want = sorted((r.doc_id, r.o, r.seq) for r in syn.plain_reads(spark, str(tmp_path)).where("seq is not null").collect())
+    cut = syn.texts(spark, str(tmp_path)).select("doc_id", "seq").mapInArrow(lambda batches: (c for b in batches for c in syn.cut_reads(b)), "doc_id bigint, o int, seq string")
+    assert sorted(map(tuple, cut.collect())) == want
+
+
+def test_primer_sieve_keeps_every_match(spark):
+    from kmerspark.operators import primers
+
+    pairs = spark.createDataFrame([("g", "ACGTTGCARYACGTTGAC", "TTGACCATTTGACCAGTA")], "gene string, forward_seq string, reverse_seq string")
+    oligos = primers.oligos(pairs, 19, 1)
+    only, ends = primers.sieve(oligos, 19), [r.oligo for r in oligos.select("oligo").distinct().collect()]
+    turned = [o[::-1].translate(str.maketrans("ACGT", "TGCA")) for o in ends]
+    assert only(np.array([number(o + "ACGT") for o in ends] + [number("CCAA" + o) for o in turned])).all()
+    assert only(np.random.default_rng(1).integers(0, 1 << 38, 10_000)).mean() < 0.2
+
+
+@pytest.mark.parametrize("query", ["primer_match", "edge_support", "branch_links"])
+def test_kmers_that_cannot_match_are_not_counted(spark, query):
+    import __spark_entry__
+
+    asked = []
+    plain_counted = tally.counted
+
+    def counted(*args, only=None, **more):
+        asked.append(only)
+        return plain_counted(*args, only=only, **more)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tally, "counted", counted)
+        __spark_entry__.queries()[query](spark, "/root/testdata/sf0.001")
+    assert asked and all(asked)
